@@ -93,8 +93,8 @@ SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.u = v.vec_id) AS n_link
 FROM v JOIN least ON least.u = v.vec_id
 """,
     "op4_shingle_join": f"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '[\\t\\n\\x0b\\x0c\\r ]+'), x -> x <> '') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), i -> array_to_string(ws[i:i + 4], ' '))) AS g FROM w WHERE len(ws) > 0),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM w WHERE len(ws) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 5 * c >= 4 * (x.n + y.n - c)),
