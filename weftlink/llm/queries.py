@@ -76,7 +76,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), length=100).drop("kept")
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=100, with_bytes=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vector_dedup, op3_sentencepiece, op4_shingle_join, op5_packing, op6_quality, op7_html_text, op8_exact_dedup, op9_secret_scan, op10_suffix_dedup)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -32,6 +33,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """``run``, a function over Arrow batches, so that a task's freed memory goes back to the system when it ends: a
+    Python worker lives through many stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions of the session, at least ``least``."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), least)

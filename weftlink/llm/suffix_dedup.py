@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.lyndon import suffix_order
-from weftlink.llm.shared import buffers, mix, odd_constants, partitions, ranges, slices, stored, text_of
+from weftlink.llm.shared import buffers, lean, mix, odd_constants, partitions, ranges, slices, stored, text_of
 
 RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("tag", "<u4")])
 REQUEST = np.dtype([("doc", "<i8"), ("key", "<u8"), ("lo", "<u4"), ("hi", "<u4"), ("tag", "<u4")])
@@ -146,7 +146,7 @@ def _window_hashes(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     return out
 
 
-def _batches(batch: pa.RecordBatch, most: int = 3 << 20):
+def _batches(batch: pa.RecordBatch, most: int = 1 << 20):
     """(ids with null as the last, null flags, tags, bytes, offsets) of slices of a batch. A text longer than a slice
     stands alone; 32-bit positions hold for any string that Spark can."""
     for b in slices(batch, 1, most):
@@ -230,7 +230,7 @@ def _merged(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _emit(length: int, hot: np.ndarray, n_keys: int, n_docs: int, flush: int = 1_500_000):
+def _emit(length: int, hot: np.ndarray, n_keys: int, n_docs: int, flush: int = 400_000):
     """Texts -> records for the anchors' buckets and, for what repeats inside this task, spans."""
 
     def settle(held):
@@ -346,36 +346,36 @@ def _read_texts(blob: bytes):
     return doc, null, tag, raw, np.concatenate([[0], np.cumsum(size)])
 
 
+class _Notes:
+    """A bucket's notes, sorted by document, and where each document's begin."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows[np.lexsort((rows["lo"], rows["tag"], rows["doc"]))]
+        doc, tag = self.rows["doc"], self.rows["tag"]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
+        many = np.diff(np.append(first, len(doc)))
+        self.of = dict(zip(zip(doc[first].tolist(), tag[first].tolist(), strict=True), zip(first.tolist(), many.tolist(), strict=True), strict=True))
+
+    def on(self, doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, note) of every note on the given texts."""
+        hit = [(k, *self.of[pair]) for k, pair in enumerate(zip(doc.tolist(), tag.tolist(), strict=True)) if pair in self.of]
+        k, first, many = np.array(hit, np.int64).reshape(-1, 3).T
+        return np.repeat(k, many), self.rows[ranges(first, many)]
+
+
 def _by_bucket(batches, kind: np.dtype, notes: int):
-    """Rows sorted by bucket, notes before texts -> (texts, all notes of their bucket sorted by document)."""
-    bucket, held, ready = None, [], np.zeros(0, kind)
+    """Rows sorted by bucket, notes before texts -> (texts, all notes of their bucket)."""
+    bucket, held, ready = None, [], _Notes(np.zeros(0, kind))
     for b in batches:
-        for at, what, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for at, what, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             if at != bucket:
-                bucket, held, ready = at, [], np.zeros(0, kind)
+                bucket, held, ready = at, [], _Notes(np.zeros(0, kind))
             if what == notes:
-                held.append(_unpack(blob, kind))
+                held.append(_unpack(blob.as_py(), kind))
                 continue
             if held:
-                ready = np.concatenate(held)
-                ready = ready[np.lexsort((ready["lo"], ready["tag"], ready["doc"]))]
-                held = []
-            yield _read_texts(blob), ready
-
-
-def _notes_of(doc: np.ndarray, tag: np.ndarray, notes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, note number) of every note on the given texts."""
-    pair = np.dtype([("doc", "<i8"), ("tag", "<u4")])
-    have = np.empty(len(notes), pair)
-    have["doc"], have["tag"] = notes["doc"], notes["tag"]
-    names, first, n = np.unique(have, return_index=True, return_counts=True)
-    if not len(names):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    want = np.empty(len(doc), pair)
-    want["doc"], want["tag"] = doc, tag
-    at = np.minimum(np.searchsorted(names, want), len(names) - 1)
-    hit = np.flatnonzero(names[at] == want)
-    return np.repeat(hit, n[at[hit]]), ranges(first[at[hit]], n[at[hit]])
+                ready, held = _Notes(np.concatenate(held)), []
+            yield _read_texts(blob.as_py()), ready
 
 
 def _contexts(length: int, n_keys: int):
@@ -383,10 +383,9 @@ def _contexts(length: int, n_keys: int):
 
     def run(batches):
         for (doc, _, tag, raw, off), asked in _by_bucket(batches, REQUEST, REQUESTS):
-            text, note = _notes_of(doc, tag, asked)
+            text, q = asked.on(doc, tag)
             if not len(text):
                 continue
-            q = asked[note]
             size = q["hi"].astype(np.int64) - q["lo"] + length
             bucket = _bucket_of(q["key"], n_keys)
             order = np.argsort(bucket, kind="stable")
@@ -488,13 +487,12 @@ def _suffix_spans(length: int, n_docs: int):
     return run
 
 
-def _finish():
+def _finish(with_bytes: bool):
     """Spans and texts of buckets -> one row per document."""
 
     def run(batches):
         for (doc, null, tag, raw, off), spans in _by_bucket(batches, SPAN, SPANS):
-            text, note = _notes_of(doc, tag, spans)
-            s = spans[note]
+            text, s = spans.on(doc, tag)
             d = np.zeros(len(raw) + 1, np.int32)
             np.add.at(d, off[:-1][text] + s["lo"], 1)
             np.add.at(d, off[:-1][text] + s["hi"], -1)
@@ -514,16 +512,17 @@ def _finish():
                     pa.array(np.diff(sums[off]).astype(np.int64)),
                     pa.array(np.diff(rises[off]).astype(np.int64)),
                     pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
-                    pa.array(parts, pa.binary()),
+                    *([pa.array(parts, pa.binary())] if with_bytes else []),
                 ],
-                names=["wl_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                names=["wl_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else [])],
             )
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, hot_least: int = HOT_LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per input row; ``kept``: the bytes left.
+def suffix_dedup(docs: DataFrame, length: int = 100, hot_least: int = HOT_LEAST, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
+    """(``id_col``, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per input row; ``kept``: the bytes left
+    (not with ``with_bytes`` off).
 
     Removed is each byte covered by a ``length``-byte string (at least 9) that also starts earlier: at a smaller id, or
     in the same document further left; overlaps count. Ids must be 64-bit integers. Null text is empty; texts shorter
@@ -540,18 +539,18 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot_least: int = HOT_LEAST,
     n = partitions(spark)
     d = text_of(docs, id_col, text_col).withColumn("wl_id", F.col("wl_id").cast("long"))
     sixteenth = d.filter(F.pmod(F.xxhash64("wl_id", F.length("wl_text")), F.lit(16)) == 0)
-    counts = sixteenth.mapInArrow(_hot(length), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counts = sixteenth.mapInArrow(lean(_hot(length)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     total = counts.filter("k = 0").agg(F.sum("n")).first()[0] or 0
     least = max(hot_least / 16, total / HOT_SHARES)
     hot = np.sort(np.array([r[0] for r in counts.filter((F.col("k") != 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "k").limit(HOT_SHARES).collect()], np.int64).view(np.uint64))
     rows = "bucket int, kind int, blob binary"
-    notes = stored(d.mapInArrow(_emit(length, hot, n, n), rows).repartition(n, "bucket").mapInArrow(_settle_keys(length, n), rows), "repeats")
-    texts = d.mapInArrow(_text_rows(n), rows)
+    notes = stored(d.mapInArrow(lean(_emit(length, hot, n, n)), rows).repartition(n, "bucket").mapInArrow(lean(_settle_keys(length, n)), rows), "repeats")
+    texts = d.mapInArrow(lean(_text_rows(n)), rows)
 
     def beside_texts(x: DataFrame) -> DataFrame:
         return x.unionByName(texts).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
-    contexts = beside_texts(notes.filter(F.col("kind") == REQUESTS)).mapInArrow(_contexts(length, n), "bucket int, blob binary")
-    found = contexts.repartition(n, "bucket").mapInArrow(_suffix_spans(length, n), rows)
-    out = beside_texts(notes.filter(F.col("kind") == SPANS).unionByName(found)).mapInArrow(_finish(), "wl_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    contexts = beside_texts(notes.filter(F.col("kind") == REQUESTS)).mapInArrow(lean(_contexts(length, n)), "bucket int, blob binary")
+    found = contexts.repartition(n, "bucket").mapInArrow(lean(_suffix_spans(length, n)), rows)
+    out = beside_texts(notes.filter(F.col("kind") == SPANS).unionByName(found)).mapInArrow(lean(_finish(with_bytes)), "wl_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
     return out.withColumnRenamed("wl_id", id_col)
