@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.components import components
-from weftlink.llm.shared import buffers, mix, odd_constants, partitions, ranges, slices, stored, text_of
+from weftlink.llm.shared import buffers, lean, mix, odd_constants, partitions, ranges, slices, stored, text_of
 
 COORDINATES = 64
 _SPACES = np.zeros(256, bool)
@@ -151,7 +151,7 @@ def _down(path: int, c: int, values: np.ndarray) -> np.ndarray:
 
 
 def _split(threshold: float, repeats: int | None):
-    """(node, id, signature) -> its children's rows; with ``repeats`` the rows are (id, signature) at the roots."""
+    """(node, id, signature) -> (child node, id); with ``repeats`` the rows stand at the roots."""
 
     def run(batches):
         for b in batches:
@@ -162,60 +162,56 @@ def _split(threshold: float, repeats: int | None):
             for path, rows in jobs:
                 for c in _chosen(path, threshold, sig.shape[1]).tolist():
                     kids = _down(path, c, sig[rows, c]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(kids), pa.array(ids[rows]), b.column(2).take(pa.array(rows))], names=["node", "id", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(kids), pa.array(ids[rows])], names=["node", "id"])
 
     return run
 
 
-class _Forest:
-    """Union-find over positions."""
+class Forest:
+    """Connected sets over positions as an array of labels; ``link`` tells the links that joined two sets."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def _near(sig: np.ndarray, least: int, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions (from rows, from cols) whose signatures agree in at least ``least`` coordinates."""
-    out = []
-    for lo in range(0, len(rows), 64):
-        part = rows[lo : lo + 64]
-        for co in range(0, len(cols), 1024):
-            other = cols[co : co + 1024]
-            i, j = np.nonzero((sig[part][:, None, :] == sig[other][None]).sum(2, dtype=np.int16) >= least)
-            out.append(np.stack([part[i], other[j]]))
-    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    keep = both[0] != both[1]
-    return both[0][keep], both[1][keep]
-
-
-def _bucket_edges(path: int, rows: np.ndarray, sig: np.ndarray, least: int, threshold: float, small: int, depth: int, out: list) -> None:
-    """The join tree below a node, inside a task: split on sampled coordinates until buckets are small, or no longer
-    shrink; there all pairs are compared. Pairs are added to ``out``."""
-    if len(rows) <= small or depth == 0:
-        a, b = _near(sig, least, rows, rows)
-        if len(a):
-            out.append(np.stack([a[a < b], b[a < b]]))
+        self.label = np.arange(n)
+
+    def link(self, i: int, others: np.ndarray) -> list[int]:
+        """Link position ``i`` with ``others``: one of them for each set that was not ``i``'s."""
+        names, first = np.unique(self.label[others], return_index=True)
+        new = names != self.label[i]
+        if not new.any():
+            return []
+        gone = np.append(names, self.label[i])
+        self.label[np.isin(self.label, gone)] = gone.min()
+        return others[first[new]].tolist()
+
+
+def _agree(sig: np.ndarray, row: np.ndarray, least: int) -> np.ndarray:
+    return (sig == row).sum(1, dtype=np.int16) >= least
+
+
+def _bucket_edges(path: int, rows: np.ndarray, sig: np.ndarray, least: int, threshold: float, small: int, depth: int, forest: Forest, out: list) -> None:
+    """The join tree below a node, inside a task: split on sampled coordinates until a bucket is small, hangs together
+    or no longer splits; there all pairs are compared. Links that join two sets are added to ``out``."""
+    same = forest.label[rows]
+    if (same == same[0]).all():  # all pairs meet again in the candidate group
+        return
+    if len(rows) > small and depth:
+        first = rows[0]
+        near = _agree(sig[rows], sig[first], least)
+        out += [(first, j) for j in forest.link(first, rows[near])]
+        if near.all():
+            return
+        for c in _chosen(path, threshold, sig.shape[1]).tolist():
+            kids = _down(path, c, sig[rows, c])
+            order = np.argsort(kids, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(kids[order])) + 1):
+                if len(part) > 1:
+                    _bucket_edges(int(kids[part[0]]), rows[part], sig, least, threshold, small, depth - 1, forest, out)
         return
-    for c in _chosen(path, threshold, sig.shape[1]).tolist():
-        kids = _down(path, c, sig[rows, c])
-        order = np.argsort(kids, kind="stable")
-        bounds = np.flatnonzero(np.diff(kids[order])) + 1
-        for part in np.split(order, bounds):
-            if len(part) > 1:
-                _bucket_edges(int(kids[part[0]]), rows[part], sig, least, threshold, small, depth - 1, out)
+    own = sig[rows]
+    for k in range(len(rows) - 1):
+        near = np.flatnonzero(_agree(own[k + 1 :], own[k], least))
+        if len(near):
+            out += [(rows[k], j) for j in forest.link(rows[k], rows[k + 1 + near])]
 
 
 def _edges(least: int, threshold: float, small: int, depth: int):
@@ -227,26 +223,18 @@ def _edges(least: int, threshold: float, small: int, depth: int):
             return
         nodes, ids = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (0, 1))
         sig = np.concatenate([g[2] for g in got]).reshape(len(ids), -1)
-        order = np.argsort(nodes, kind="stable")
+        del got
         us, vs = [], []
-        for part in np.split(order, np.flatnonzero(np.diff(nodes[order])) + 1):
-            if len(part) < 2:
-                continue
-            if len(part) == 2:
-                if (sig[part[0]] == sig[part[1]]).sum() >= least:
-                    us.append(int(ids[part[0]]))
-                    vs.append(int(ids[part[1]]))
+        order = np.argsort(nodes, kind="stable")
+        cut = np.append(np.flatnonzero(np.concatenate([[True], np.diff(nodes[order]) != 0])), len(order))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b - a < 2:
                 continue
-            pairs: list = []
-            _bucket_edges(int(nodes[part[0]]), part, sig, least, threshold, small, depth, pairs)
-            if pairs:
-                both = np.concatenate(pairs, axis=1)
-                place = {int(p): i for i, p in enumerate(part)}
-                forest = _Forest(len(part))
-                for a, b in both.T.tolist():
-                    if forest.join(place[a], place[b]):
-                        us.append(int(ids[a]))
-                        vs.append(int(ids[b]))
+            part = order[a:b]
+            out: list = []
+            _bucket_edges(int(nodes[part[0]]), np.arange(b - a), sig[part], least, threshold, small, depth, Forest(b - a), out)
+            us += [int(ids[part[i]]) for i, _ in out]
+            vs += [int(ids[part[j]]) for _, j in out]
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
@@ -275,12 +263,12 @@ def _overlaps(h: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return total
 
 
-def _exact(threshold: float, chunk: int):
+def _exact(threshold: float):
     """Rows (cell, side, id, weight, set) of a partition -> (u, v, n): v null: n links of u; else u and v are linked."""
 
     def cell(ids, weight, h, bounds, a, b, same):
         nu, fu, fv = np.zeros(len(ids)), [], []
-        forest = _Forest(len(ids))
+        forest = Forest(len(ids))
         size = np.diff(bounds)
         for lo in range(0, len(a), 256):
             for co in range(0, len(b), 256):
@@ -295,10 +283,10 @@ def _exact(threshold: float, chunk: int):
                 i, j = np.nonzero(hit)
                 np.add.at(nu, x[i], weight[y[j]])
                 np.add.at(nu, y[j], weight[x[i]])
-                for p, q in zip(x[i].tolist(), y[j].tolist(), strict=True):
-                    if forest.join(p, q):
+                for p, q in zip(x, hit, strict=True):
+                    for other in forest.link(int(p), y[q]) if q.any() else ():
                         fu.append(int(ids[p]))
-                        fv.append(int(ids[q]))
+                        fv.append(int(ids[other]))
         return nu, fu, fv
 
     def run(batches):
@@ -360,29 +348,31 @@ def shingle_join(
     repeats = max(1, ceil(log(1 - recall) / log(0.45)))
     # chance agreement: a pair at the threshold agrees in fewer coordinates only with a probability of about 1 in 10,000
     least = int(np.floor(COORDINATES * threshold - 3.7 * (COORDINATES * threshold * (1 - threshold)) ** 0.5))
-    rows = stored(d.mapInArrow(_sketch(n), "wl_id long, wl_set binary, wl_sig binary"), "sketches")
+    rows = stored(d.mapInArrow(lean(_sketch(n)), "wl_id long, wl_set binary, wl_sig binary"), "sketches")
     real = rows.filter("wl_set is not null and wl_id is not null")
     reps = real.groupBy("wl_set").agg(F.min("wl_id").alias("id"), F.count("*").alias("weight"), F.first("wl_sig").alias("sig"))
     reps = stored(reps, "sets")
     # ids stand for sets from here on; the id of another set may be equal only where rows repeat an id, so a number is used
     keyed = reps.select(F.xxhash64("wl_set").alias("id"), "sig", "weight", F.col("id").alias("least_id"), "wl_set")
     parts = partitions(spark)
-    nodes = keyed.select(F.lit(0).cast("long").alias("node"), "id", "sig").mapInArrow(_split(threshold, repeats), "node long, id long, sig binary")
-    nodes = stored(nodes, "nodes")
+    nodes = keyed.select(F.lit(0).cast("long").alias("node"), "id", "sig").mapInArrow(lean(_split(threshold, repeats)), "node long, id long")
     edge_tables = []
-    for level in range(6):
+    for level in range(7):
+        nodes = stored(nodes, "nodes")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        big = stored(sizes.filter(F.col("size") > large).select("node", "size"), "large-nodes")
-        many = big.count()
-        rest = nodes.join(big.select("node"), "node", "left_anti") if many else nodes
-        edge_tables.append(rest.repartition(parts, "node").mapInArrow(_edges(least, threshold, small, 12), "u long, v long"))
-        if not many:
+        # most nodes hold one set: only the others get their signatures
+        shared = nodes.join(sizes, "node").join(keyed.select("id", "sig"), "id").select("node", "id", "sig", "size")
+        shared = stored(shared, "shared-nodes")
+        if level == 6:  # what sampled coordinates don't split is compared in square cells
+            cells = _cells(shared, "node", "size", large // 2).select("cell", "id", "sig")
+            edge_tables.append(cells.repartition(parts, "cell").mapInArrow(lean(_edges(least, threshold, large, 0)), "u long, v long"))
             break
-        nodes = stored(nodes.join(big.select("node"), "node", "left_semi").mapInArrow(_split(threshold, None), "node long, id long, sig binary"), "nodes")
-    else:  # what sampled coordinates don't split is compared in square cells
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        cells = _cells(nodes.join(sizes, "node"), "node", "size", large // 2).select("cell", "id", "sig")
-        edge_tables.append(cells.repartition(parts, "cell").mapInArrow(_edges(least, threshold, large, 0), "u long, v long"))
+        here = shared.filter(F.col("size") <= large).select("node", "id", "sig")
+        edge_tables.append(here.repartition(parts, "node").mapInArrow(lean(_edges(least, threshold, small, 12)), "u long, v long"))
+        more = shared.filter(F.col("size") > large).select("node", "id", "sig")
+        if not more.limit(1).count():
+            break
+        nodes = more.mapInArrow(lean(_split(threshold, None)), "node long, id long")
     edges = edge_tables[0]
     for e in edge_tables[1:]:
         edges = edges.unionByName(e)
@@ -409,9 +399,9 @@ def shingle_join(
                 out = pa.RecordBatch.from_arrays([*keys[1:], pa.array(sets, pa.binary())], names=["set_id", "grp", "weight", "shingles"])
                 yield out.filter(pa.array(right))
 
-    sets = texts.mapInArrow(whole, "set_id long, grp long, weight long, shingles binary").dropDuplicates(["set_id"]) if _ids_repeat(rows) else texts.mapInArrow(whole, "set_id long, grp long, weight long, shingles binary")
+    sets = texts.mapInArrow(lean(whole), "set_id long, grp long, weight long, shingles binary").dropDuplicates(["set_id"]) if _ids_repeat(rows) else texts.mapInArrow(lean(whole), "set_id long, grp long, weight long, shingles binary")
     cells = _cells(sets.withColumnRenamed("set_id", "id").join(sizes, "grp"), "grp", "size", group).select("cell", "side", "id", "weight", "shingles")
-    found = stored(cells.repartition(parts * 2, "cell").mapInArrow(_exact(threshold, group), "u long, v long, n long"), "links")
+    found = stored(cells.repartition(parts * 2, "cell").mapInArrow(lean(_exact(threshold)), "u long, v long, n long"), "links")
     links = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("n"))
     classes = components(found.filter("v is not null").select("u", "v"))
     per_set = (

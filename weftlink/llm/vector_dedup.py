@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlink.llm.components import components
-from weftlink.llm.shared import partitions, stored
-from weftlink.llm.shingle_join import _Forest
+from weftlink.llm.shared import lean, partitions, stored
+from weftlink.llm.shingle_join import Forest
 
 SAMPLE_ROWS = 20_000  # most vectors that codebooks and the number of visits are fitted on
 
@@ -151,7 +151,7 @@ def _verify(threshold: float):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        key, ids, cell, home, weight, role = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1, 2, 3, 6, 7))
+        key, ids, home, weight, role = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1, 3, 6, 7))
         seen = [np.frombuffer(s, np.int32) for b in held for s in b.column(4).to_pylist()]
         vec = np.frombuffer(b"".join(v for b in held for v in b.column(5).to_pylist()), np.float64).reshape(len(ids), -1)
         order = np.lexsort((ids, key))
@@ -161,32 +161,33 @@ def _verify(threshold: float):
             res, vis = part[(role[part] & 1) > 0], part[(role[part] & 2) > 0]
             if not len(res) or not len(vis):
                 continue
-            place = {int(p): i for i, p in enumerate(part)}
-            forest = _Forest(len(part))
-            n = dict.fromkeys(part.tolist(), 0)
-            here = int(cell[part[0]])
+            place = np.zeros(len(ids), np.int64)
+            place[part] = np.arange(len(part))
+            forest = Forest(len(part))
+            n = np.zeros(len(part), np.int64)
             for lo in range(0, len(vis), 512):
                 a = vis[lo : lo + 512]
                 for co in range(0, len(res), 2048):
                     b = res[co : co + 2048]
-                    i, j = np.nonzero(vec[a] @ vec[b].T >= threshold)
-                    for p, q in zip(a[i].tolist(), b[j].tolist(), strict=True):
-                        if ids[p] == ids[q]:
-                            continue
-                        n[p] += int(weight[q])  # the visitor comes to the resident's cell once
-                        # the resident counts the link here unless it visits the visitor's own cell itself
-                        if not home[p] and int(seen[p][0]) not in seen[q]:
-                            n[q] += int(weight[p])
-                        if forest.join(place[p], place[q]):
-                            us.append(int(ids[p]))
-                            vs.append(int(ids[q]))
+                    hit = (vec[a] @ vec[b].T >= threshold) & (ids[a][:, None] != ids[b][None])
+                    if not hit.any():
+                        continue
+                    n[place[a]] += hit @ weight[b]  # the visitor comes to the resident's cell once
+                    # the resident counts a link here unless it visits the visitor's own cell itself
+                    foreign = np.flatnonzero(~home[a] & hit.any(1))
+                    for k in foreign.tolist():
+                        q = b[hit[k]]
+                        unseen = q[[int(seen[a[k]][0]) not in seen[x] for x in q.tolist()]]
+                        n[place[unseen]] += int(weight[a[k]])
+                    for k in np.flatnonzero(hit.any(1)).tolist():
+                        for other in forest.link(int(place[a[k]]), place[b[hit[k]]]):
+                            us.append(int(ids[a[k]]))
+                            vs.append(int(ids[part[other]]))
                             ns.append(0)
-            for p, k in n.items():
-                if k:
-                    us.append(int(ids[p]))
-                    vs.append(None)
-                    ns.append(k)
-            del here
+            for p in np.flatnonzero(n).tolist():
+                us.append(int(ids[part[p]]))
+                vs.append(None)
+                ns.append(int(n[p]))
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], names=["u", "v", "n"])
 
     return run
@@ -224,7 +225,7 @@ def vector_dedup(
         x = x / np.abs(x).max(1)[:, None]
         x /= np.linalg.norm(x, axis=1)[:, None]
         index = MultiIndex.fit(x, sample["wl_grp"].to_numpy(), words, threshold, recall)
-        seen = of_dim.select("id", "wl_grp", "wl_vec", "weight").mapInArrow(_visit(index, dim), "id long, grp long, cell int, resident boolean, seen binary, vec binary, weight long")
+        seen = of_dim.select("id", "wl_grp", "wl_vec", "weight").mapInArrow(lean(_visit(index, dim)), "id long, grp long, cell int, resident boolean, seen binary, vec binary, weight long")
         seen = stored(seen, "visits")
         size = seen.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.count_if("resident").alias("r")).filter("r > 0 and n > 1")
         k = F.ceil(F.col("n") / strip).cast("int")
@@ -236,7 +237,7 @@ def vector_dedup(
         as_resident = F.filter(F.transform(every, lambda s: F.struct(F.col("mine").alias("a"), s.alias("b"), F.lit(1).alias("role"))), lambda s: F.col("resident") & (s["b"] != F.col("mine")))
         spread = placed.withColumn("at", F.explode(F.concat(as_visitor, as_resident)))
         spread = spread.select(F.xxhash64("grp", "cell", "at.a", "at.b").alias("key"), "id", "cell", "resident", "seen", "vec", "weight", F.col("at.role").alias("role"))
-        part = spread.repartition(parts * 2, "key").mapInArrow(_verify(threshold), "u long, v long, n long")
+        part = spread.repartition(parts * 2, "key").mapInArrow(lean(_verify(threshold)), "u long, v long, n long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "u long, v long, n long")
