@@ -180,8 +180,13 @@ def learn_weights(pages: DataFrame, html_col: str = "html", sample_pages: int =
     """Weights from at most ``sample_pages`` pages, chosen by a hash of the page; pages longer than ``most_bytes``
     characters aren't used for learning (they are extracted whole, as all pages)."""
     c = F.col(html_col)
-    rows = pages.select(c.alias("wl_html")).filter(F.length("wl_html") <= most_bytes).orderBy(F.xxhash64("wl_html"), F.length("wl_html")).limit(sample_pages).collect()
-    return TokenWeights.learn([r[0] for r in rows])
+    keyed = pages.filter(F.length(c) <= most_bytes).select(F.xxhash64(c).alias("wl_key"), c.alias("wl_html"))
+    # the keys alone are ranked; only the chosen pages travel
+    last = keyed.select("wl_key").distinct().orderBy("wl_key").limit(sample_pages).agg(F.max("wl_key")).first()[0]
+    if last is None:
+        return TokenWeights.learn([])
+    rows = keyed.filter(F.col("wl_key") <= last).dropDuplicates(["wl_key"]).orderBy("wl_key").limit(sample_pages).collect()
+    return TokenWeights.learn([r[1] for r in rows])
 
 
 def main_text(pages: DataFrame, weights: TokenWeights | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
