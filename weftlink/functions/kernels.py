@@ -1,0 +1,116 @@
+"""String-similarity kernels as Arrow UDFs: ratios from 0 to 100 by longest common subsequence, Jaro-Winkler from 0 to 1."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with one machine word of any width as the bit vector."""
+    if len(a) > len(b):
+        a, b = b, a
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    s = full
+    for c in b:
+        u = s & where.get(c, 0)
+        s = ((s + u) | (s - u)) & full
+    return len(a) - s.bit_count()
+
+
+def ratio(a: str, b: str) -> float:
+    """Share of characters outside of insertions and deletions; 100 of two empty strings."""
+    n = len(a) + len(b)
+    return 200.0 * lcs(a, b) / n if n else 100.0
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter string with any window of its length, or with a shorter one at either end."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 100.0 if not b else 0.0
+
+    def best(s: str, t: str) -> float:
+        m = len(s)
+        spans = {(i, min(i + m, len(t))) for i in range(max(1, len(t) - m + 1))} | {(0, k) for k in range(1, min(m, len(t)))} | {(len(t) - k, len(t)) for k in range(1, min(m, len(t)))}
+        return max(ratio(s, t[x:y]) for x, y in spans)
+
+    return max(best(a, b), best(b, a)) if len(a) == len(b) else best(a, b)
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """The best ratio among shared words and shared words with either side's others; 0 if a side has none."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if both and (not left or not right):
+        return 100.0
+    one, two = (both + " " + left).strip(), (both + " " + right).strip()
+    out = ratio(one, two)
+    return max(out, ratio(both, one), ratio(both, two)) if both else out
+
+
+def token_sort_ratio(a: str, b: str) -> float:
+    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
+    if not a and not b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(len(a), len(b)) // 2 - 1
+    reach = max(reach, 0)
+    taken = [False] * len(b)
+    hits = []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not taken[j] and b[j] == c:
+                taken[j] = True
+                hits.append(c)
+                break
+    m = len(hits)
+    if not m:
+        return 0.0
+    other = [c for c, t in zip(b, taken, strict=True) if t]
+    turns = sum(x != y for x, y in zip(hits, other, strict=True)) // 2
+    jaro = (m / len(a) + m / len(b) + (m - turns) / m) / 3
+    prefix = 0
+    for x, y in zip(a[:4], b[:4], strict=False):
+        if x != y:
+            break
+        prefix += 1
+    return jaro + prefix * weight * (1 - jaro) if jaro > 0.7 else jaro
+
+
+def _kernel(f):
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen: dict[tuple[str, str], float] = {}
+        out = []
+        for p in zip(a, b, strict=True):
+            if p not in seen:
+                seen[p] = f(*p)
+            out.append(seen[p])
+        return pd.Series(out, dtype="float64")
+
+    def column(a: Column, b: Column) -> Column:
+        return run(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+
+    return column
+
+
+ratio_of, partial_ratio_of, token_set_of, token_sort_of, jaro_winkler_of = map(_kernel, (ratio, partial_ratio, token_set_ratio, token_sort_ratio, jaro_winkler))
+
+
+def normalized_levenshtein(a: Column, b: Column) -> Column:
+    """Edit distance by the longer length; 0 of two empty strings."""
+    n = F.greatest(F.length(a), F.length(b))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.try_divide(F.levenshtein(a, b).cast("double"), n))

@@ -1,0 +1 @@
+"""The batch engine has no streaming operators; sources that grow are read as tables."""
