@@ -46,7 +46,7 @@ def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    return piece_codec(table(spark, sf_dir, "documents"), model).select("doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip", "parity")
+    return piece_codec(table(spark, sf_dir, "documents"), model, whole=False)
 
 
 def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

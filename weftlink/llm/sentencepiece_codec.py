@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm.shared import ranges, slices, text_of
+from weftlink.llm.shared import lean, ranges, slices, text_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
@@ -181,7 +181,7 @@ class PieceCodec:
             self.known = {}
         split = [self._split(self._normal(t)) for t in texts]
         new = set().union(*split).difference(self.known)
-        self._learn(sorted(u for u in new if u[0] == SPACE != u[-1]))
+        self._learn([u for u in new if u[0] == SPACE != u[-1]])
         for u in new.difference(self.known):  # markers alone, or a text's first word where no marker is set before it
             self.known[u] = np.array(self.bare.encode(u, add_special_tokens=False).ids, np.uint32).tobytes()
         get = self.known.__getitem__
@@ -198,7 +198,7 @@ class PieceCodec:
         return out
 
 
-def _run(data: bytes, verify: bool):
+def _run(data: bytes, verify: bool, whole: bool):
     def run(batches):
         codec = PieceCodec(data)
         other = None
@@ -218,22 +218,22 @@ def _run(data: bytes, verify: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),
-                        pa.array(raw, pa.binary()),
+                        *([pa.array(raw, pa.binary()), pa.array(back, pa.string())] if whole else []),
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                        pa.array(back, pa.string()),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
                         pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_()),
                         pa.array(same, pa.bool_()),
                     ],
-                    names=["wl_id", "ids", "n_ids", "ids_crc32", "decoded", "decoded_sha256", "round_trip", "parity"],
+                    names=["wl_id", *(["ids", "decoded"] if whole else []), "n_ids", "ids_crc32", "decoded_sha256", "round_trip", "parity"],
                 )
 
     return run
 
 
-def piece_codec(docs: DataFrame, model: bytes, verify: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ids, n_ids, ids_crc32, decoded, decoded_sha256, round_trip, parity), one row per input row.
+def piece_codec(docs: DataFrame, model: bytes, verify: bool = True, whole: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``id_col``, ids, decoded, n_ids, ids_crc32, decoded_sha256, round_trip, parity), one row per input row; without
+    ids and decoded where ``whole`` is off.
 
     ``ids``: little-endian unsigned 32-bit integers; ``decoded``: the text they stand for; ``round_trip``: it is the
     text itself; ``parity``: the sentencepiece library gives the same ids (null with ``verify`` off). Null and empty
@@ -242,8 +242,9 @@ def piece_codec(docs: DataFrame, model: bytes, verify: bool = True, id_col: str
     """
     d = text_of(docs, id_col, text_col)
     kind = d.dtypes[0][1]
+    both = "ids binary, decoded string, " * whole
     return d.mapInArrow(
-        _run(model, verify), f"wl_id {kind}, ids binary, n_ids long, ids_crc32 long, decoded string, decoded_sha256 string, round_trip boolean, parity boolean"
+        lean(_run(model, verify, whole)), f"wl_id {kind}, {both}n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean"
     ).withColumnRenamed("wl_id", id_col)
 
 
