@@ -166,7 +166,8 @@ def address_only_match(records: DataFrame, max_key: int = 30) -> DataFrame:
 
 def word_deletion_pairs(records: DataFrame, max_key: int = 30) -> DataFrame:
     """(s23, s1, exact_key): noisy records and reference records that share a name core, or one without a word."""
-    keys = records.select("id", "source", "country", F.explode(X.core_keys(X.name_core(F.col("name")))).alias("k")).select("id", "source", "country", "k.key", "k.exact")
+    cores = records.select("id", "source", "country", X.name_core(F.col("name")).alias("core"))
+    keys = cores.select("id", "source", "country", F.explode(X.core_keys(F.col("core"))).alias("k")).select("id", "source", "country", "k.key", "k.exact")
     keys = keys.groupBy("id", "source", "country", "key").agg(F.bool_or("exact").alias("exact"))
     k1 = keys.filter("source = 1")
     k1 = k1.join(k1.groupBy("country", "key").count().filter(F.col("count") <= max_key).select("country", "key"), ["country", "key"], "left_semi")

@@ -36,8 +36,8 @@ def dense_top(pool: DataFrame, queries: DataFrame, k: int = 3, block_rows: int =
     vector. The pool is cut to blocks of about ``block_rows``; each query meets each block of its group once, keeps k
     there, and a window merges them; neither side is collected or broadcast."""
     sizes = pool.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    p = pool.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("blk"), F.col("id").alias("pid"), F.col("vector").alias("pv"))
-    q = queries.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.col("id").alias("qid"), F.col("vector").alias("qv"))
+    p = pool.join(sizes, "grp").select(F.col("grp").alias("pg"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("pb"), F.col("id").alias("pid"), F.col("vector").alias("pv"))
+    q = queries.join(sizes, "grp").select(F.col("grp").alias("qg"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qb"), F.col("id").alias("qid"), F.col("vector").alias("qv"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -54,6 +54,6 @@ def dense_top(pool: DataFrame, queries: DataFrame, k: int = 3, block_rows: int =
         d = pd.concat(out)
         return d[d["cos"] > -2]
 
-    found = p.groupBy("grp", "blk").cogroup(q.groupBy("grp", "blk")).applyInPandas(best, "s23 long, s1 long, cos double")
+    found = p.groupBy("pg", "pb").cogroup(q.groupBy("qg", "qb")).applyInPandas(best, "s23 long, s1 long, cos double")
     found = found.withColumn("cos", F.round("cos", 6))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("s23").orderBy(F.desc("cos"), "s1"))).filter(F.col("rank") <= k).select("s23", "rank", "s1", "cos")

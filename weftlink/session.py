@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +30,19 @@ def same(a: Column, b: Column) -> Column:
 def portable_bucket(n: int, *cols: Column) -> Column:
     """A bucket from 0 to n - 1 that any engine with md5 can compute."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("long") % n
+
+
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def settled(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once per application under ``key`` and read back: later queries reuse the table, and no lineage
+    hangs on executors. The folder is ``spark.checkpoint.dir``; a local one only where that is unset."""
+    spark = df.sparkSession
+    name = (spark.sparkContext.applicationId, key)
+    if name not in _KEPT:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftlink-")
+        path = f"{folder.rstrip('/')}/weftlink-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _KEPT[name] = path
+    return spark.read.schema(df.schema).parquet(_KEPT[name])
