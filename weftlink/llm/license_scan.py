@@ -116,7 +116,7 @@ def license_scan(files: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     null unless inherited. Null or empty texts have no licence of their own; files with a null path inherit nothing.
     Repeated rows and null ids pass through; an empty table gives an empty table. Document counts cover all texts.
     """
-    d = files.select(F.col(id_col).alias("wl_id"), F.trim(F.lit("/"), F.col(path_col)).alias("wl_path"), F.coalesce(F.col(text_col), F.lit("")).alias("wl_text"))
+    d = files.select(F.col(id_col).alias("wl_id"), F.trim(F.col(path_col), F.lit("/")).alias("wl_path"), F.coalesce(F.col(text_col), F.lit("")).alias("wl_text"))
     counts, n = template_counts(d.select("wl_text"))
     t = Templates(counts, n, threshold)
 
