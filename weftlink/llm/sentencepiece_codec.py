@@ -139,7 +139,7 @@ class PieceCodec:
     thousands of words are joined to one text (no merge crosses the marker that starts each), the texts are encoded as a
     multithreaded batch, and their ids are cut where the words' bytes end."""
 
-    def __init__(self, data: bytes, most: int = 300_000):
+    def __init__(self, data: bytes, most: int = 500_000):
         self.model = PieceModel.parse(data)
         self.tok = self.model.tokenizer()
         self.by_word = self.model.kind == BPE and self.model.byte_fallback and not self.model.crosses_spaces() and not any(k == USER for _, _, k in self.model.pieces)
@@ -198,14 +198,24 @@ class PieceCodec:
         return out
 
 
+_LOADED: dict[bytes, tuple] = {}
+
+
+def _load(data: bytes) -> tuple:
+    """The codec and sentencepiece's own processor, once per Python worker: known words last from task to task."""
+    key = hashlib.sha256(data).digest()
+    if key not in _LOADED:
+        import sentencepiece
+
+        _LOADED.clear()
+        _LOADED[key] = PieceCodec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    return _LOADED[key]
+
+
 def _run(data: bytes, verify: bool, whole: bool):
     def run(batches):
-        codec = PieceCodec(data)
-        other = None
-        if verify:
-            import sentencepiece
-
-            other = sentencepiece.SentencePieceProcessor(model_proto=data)
+        codec, other = _load(data)
+        other = other if verify else None
         for batch in batches:
             for b in slices(batch, 1, 2 << 20):
                 texts = b.column(1).to_pylist()
