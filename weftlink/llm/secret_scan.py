@@ -152,13 +152,22 @@ def _key(r: np.random.Generator, letters: str, n: int) -> str:
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
+def _syllable(r: np.random.Generator) -> str:
+    """A pronounceable piece of a word: consonants, vowels, perhaps a consonant."""
+    consonants, vowels = "bcdfghjklmnpqrstvwxz", "aeiouy"
+    return _key(r, consonants, int(r.integers(0, 3))) + _key(r, vowels, int(r.integers(1, 3))) + _key(r, consonants, int(r.integers(0, 2)))
+
+
 def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """``n`` labelled candidates in context, half of them secrets, from a rule: key formats of public services against
     long words, paths, identifiers, separators and numbers that only look like keys."""
     r = np.random.default_rng(seed)
     words = ["".join(_key(r, LOWER, 2) for _ in range(r.integers(1, 6))) for _ in range(400)]
+    words += ["".join(_syllable(r) for _ in range(r.integers(1, 5))) for _ in range(1200)]
+    long_word = lambda: "".join(_syllable(r) for _ in range(int(r.integers(6, 16)))).ljust(16, "a")[: int(r.integers(16, 40))]
     word = lambda: words[r.integers(0, len(words))]
     mixed = LOWER + UPPER + DIGITS
+    figures = lambda: "".join(_key(r, DIGITS, int(r.integers(1, 5))) + ".-/ ) ("[r.integers(0, 7)] for _ in range(r.integers(1, 5))).rstrip()
     rows, y = [], []
     for k in range(n):
         secret = k % 2 == 0
@@ -182,18 +191,24 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
                 lambda: "/".join(word() for _ in range(5)).ljust(16, "x"),
                 lambda: "_".join(word() for _ in range(5)).ljust(16, "x"),
                 lambda: "-".join(word() for _ in range(5)).ljust(16, "x"),
-                lambda: _key(r, DIGITS, int(r.integers(16, 20))),
+                lambda: _key(r, DIGITS, int(r.integers(16, 24))),
+                lambda: _key(r, DIGITS, 16),
+                long_word,
+                long_word,
+                lambda: long_word().capitalize(),
+                lambda: long_word().upper(),
                 lambda: "=-_"[r.integers(0, 3)] * int(r.integers(16, 60)),
-            ][r.integers(0, 8)]()
+            ][r.integers(0, 13)]()
             lead = ["", word() + " ", word() + ", ", "see ", word() + ": ", "url=/", word() + " = "][r.integers(0, 7)]
-        before = " ".join(word() for _ in range(3)) + " " + lead
+        near = lambda: figures() if r.random() < 0.3 else word()
+        before = " ".join(near() for _ in range(3)) + " " + lead
         after = ['" ', " ", "\n", ". ", ", "][r.integers(0, 5)] + word()
         rows.append((before + v + after, len(before), len(before) + len(v)))
         y.append(1.0 if secret else 0.0)
     return rows, np.array(y)
 
 
-def train(n: int = 3000, epochs: int = 6, recall: float = 0.95, least: float = 0.9, seed: int = 11) -> CharCNN:
+def train(n: int = 6000, epochs: int = 8, recall: float = 0.99, least: float = 0.9, seed: int = 11) -> CharCNN:
     """A network trained on ``n`` labelled findings and calibrated on half as many others."""
     rows, y = labelled_findings(n, seed)
     x = np.concatenate([windows(t.encode(), [(a, b)]) for t, a, b in rows])
