@@ -43,3 +43,8 @@ LEGAL_CLASSES = {
     "inc": 1, "incorporated": 1, "llc": 2, "ltd": 3, "limited": 3, "pvt": 4, "private": 4, "corp": 5, "corporation": 5, "co": 6, "company": 6,
     "llp": 7, "plc": 8, "pc": 9, "sarl": 10, "sas": 11, "sasu": 11, "sci": 12, "sa": 13, "ets": 14,
 }
+# Legal forms and trade words that address-only candidates are looked up for, as a pattern.
+TRADE_FORMS = (
+    r"\b(llc|l l c|inc|corp|corporation|ltd|limited|pvt|private|co|company|fund|trust|holdings|group|partners|lp|llp|associates|pc|pllc|enterprises|"
+    r"services|industries|capital|management|sarl|sas|sasu|sci|eurl|sa|cie|fils)\b"
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -9,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.session import portable_bucket
+from weftlink.session import portable_bucket, settled
 
 FOLDS = 5
 
@@ -75,10 +77,15 @@ def refit(base: DataFrame, scored: DataFrame) -> DataFrame:
     return base.join(scored.select("s1", "s23", F.col("p").alias("q")), ["s1", "s23"], "left").withColumn("p", F.coalesce("q", "p")).drop("q")
 
 
-def rank_auc(scored: DataFrame, score_col: str = "p", label_col: str = "y") -> DataFrame:
-    """Area under the ROC curve by average ranks; scores are counted first, so one task sees distinct scores only."""
-    g = scored.groupBy(F.col(score_col).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label_col).cast("long")).alias("good"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("rank", before + (F.col("n") + 1) / 2)
+def rank_auc(scored: DataFrame, score_col: str = "p", label_col: str = "y", ranges: int = 256) -> DataFrame:
+    """Area under the ROC curve by average ranks. Distinct scores are counted first and ranked within ``ranges`` of about
+    equal size; only the ranges' totals meet in one task."""
+    g = scored.filter(F.col(score_col).isNotNull()).groupBy(F.col(score_col).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label_col).cast("long")).alias("good"))
+    g = settled(g, f"ranks {uuid.uuid4().hex}")
+    cuts = sorted(set(g.approxQuantile("s", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    d = g.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("s"))) if cuts else F.lit(0))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = d.groupBy("range").agg(F.sum("n").alias("n")).select("range", ahead(Window.orderBy("range")).alias("start"))
+    r = d.withColumn("within", ahead(Window.partitionBy("range").orderBy("s"))).join(F.broadcast(start), "range").withColumn("rank", F.col("start") + F.col("within") + (F.col("n") + 1) / 2)
     n, good = F.sum("n"), F.sum("good")
     return r.agg(F.try_divide(F.sum(F.col("good") * F.col("rank")) - good * (good + 1) / 2, (good * (n - good)).cast("double")).alias("auc"))
