@@ -54,7 +54,8 @@ def merge_links(lists: DataFrame, added: DataFrame, name: str = "matched_entity_
 
 
 def write_id_lists(lists: DataFrame, path: str) -> None:
-    lists.withColumnRenamed("s1", "source1_entity_id").coalesce(1).write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", True).option("emptyValue", "").csv(path)
+    """A folder of tab-separated files, each with a header; as many as the table has partitions."""
+    lists.withColumnRenamed("s1", "source1_entity_id").write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", True).option("emptyValue", "").csv(path)
 
 
 def save_rule(rule: DataFrame, path: str) -> None:
