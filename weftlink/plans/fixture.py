@@ -38,7 +38,8 @@ def documents_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linkage(spark: SparkSession, sf_dir: str) -> Linkage:
-    base = documents_as_records(spark, sf_dir)
+    # read six times below; the narrow table of fields is written once, so texts are read and split once
+    base = settled(documents_as_records(spark, sf_dir), f"document fields {sf_dir}")
     first = base.groupBy("country", "name").agg(F.min("doc_id").alias("s1"))
     d = base.join(first, ["country", "name"])
     ref = d.filter("doc_id = s1")
