@@ -202,6 +202,16 @@ def test_license_scan(spark):
     assert license_scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_does_not_depend_on_the_table(spark):
+    texts = ["This file is licensed under the Apache License, Version 2.0.", "Our project is licensed under the Apache License, Version 2.0."]
+    files = [(i, f"d/{i}.txt", t) for i, t in enumerate(texts)] + [(2 + i, f"d/{2 + i}.txt", "this file and our project") for i in range(98)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    much = df.crossJoin(spark.range(200).select("id")).drop("id")
+    own = lambda x: {(r.doc_id, r.own_license, r.own_score) for r in license_scan(x).collect()}
+    got = own(df)
+    assert got == own(much) and {r[1] for r in got if r[0] < 2} == {"Apache-2.0"} and {r[1] for r in got if r[0] > 1} == {None}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -38,11 +38,13 @@ def words(text: str) -> list[str]:
 
 
 class Templates:
-    """Template vectors under given document counts. Words outside their vocabulary weigh as words never seen."""
+    """Template vectors. A word weighs by how few of the licences have it, so the weights depend on neither the table nor
+    its size; words of no template weigh as one that half of the licences have."""
 
-    def __init__(self, counts: dict[str, int], n_docs: int, threshold: float, templates: dict[str, str] = TEMPLATES):
-        self.threshold, self.unseen = threshold, log(1 + n_docs) + 1
-        self.idf = {w: log((1 + n_docs) / (1 + counts.get(w, 0))) + 1 for t in templates.values() for w in words(t)}
+    def __init__(self, threshold: float, templates: dict[str, str] = TEMPLATES):
+        self.threshold, self.unseen = threshold, log(2) + 1
+        held = Counter(w for t in templates.values() for w in set(words(t)))
+        self.idf = {w: log((1 + len(templates)) / (1 + n)) + 1 for w, n in held.items()}
         self.vectors: dict[str, tuple[dict[str, float], float]] = {}
         self.anchors: set[str] = set()
         for name, text in sorted(templates.items()):
@@ -84,24 +86,6 @@ class Templates:
         return found
 
 
-def template_counts(texts: DataFrame, templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, int], int]:
-    """In how many of all texts each word of the templates stands, and the number of texts. At most one row per word
-    of the templates' vocabulary goes to the driver."""
-    vocabulary = frozenset(w for t in templates.values() for w in words(t))
-
-    def run(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(vocabulary.intersection(words(t)))
-                seen[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
-
-    rows = texts.mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n")).collect()
-    counts = dict(map(tuple, rows))
-    return counts, counts.pop("", 0)
-
-
 def _parent(path: Column) -> Column:
     """The directory of a path; '' is the root, null above it."""
     return F.when(path == "", F.lit(None).cast("string")).when(F.instr(path, "/") == 0, F.lit("")).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
@@ -114,11 +98,11 @@ def license_scan(files: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     least ``threshold``; ``license``: that, or the one of the nearest ancestor directory with a licensed licence file
     (of several there the best score, then name); ``origin``: 'own', 'inherited' or 'none'; ``depth``: directories between,
     null unless inherited. Null or empty texts have no licence of their own; files with a null path inherit nothing.
-    Repeated rows and null ids pass through; an empty table gives an empty table. Document counts cover all texts.
+    Repeated rows and null ids pass through; an empty table gives an empty table. A
+    file's own licence depends on its path and text alone, not on the other rows.
     """
     d = files.select(F.col(id_col).alias("wl_id"), F.trim(F.col(path_col), F.lit("/")).alias("wl_path"), F.coalesce(F.col(text_col), F.lit("")).alias("wl_text"))
-    counts, n = template_counts(d.select("wl_text"))
-    t = Templates(counts, n, threshold)
+    t = Templates(threshold)
 
     def run(batches):
         for batch in batches:
