@@ -202,6 +202,47 @@ def test_license_scan(spark):
     assert license_scan(df.limit(0)).count() == 0
 
 
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2019 A. Person and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+
+
+@pytest.mark.parametrize(
+    "path, text, license",
+    [
+        ("a.txt", "MIT License", "MIT"),
+        ("a.txt", "This project is licensed under the MIT License.", "MIT"),
+        ("a.txt", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GPL-3.0"),
+        ("a.txt", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", "GPL-2.0"),
+        ("a.py", "# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"),
+        ("a.py", "# Licensed under the Apache\n# License, Version 2.0\nimport os", "Apache-2.0"),
+        ("LICENSE-MIT", MIT_FILE, "MIT"),
+        ("a.txt", MIT_FILE.split("\n", 4)[4], "MIT"),
+        ("a.txt", "Licensed under the Other License, Version 2.0.", None),
+        ("a.txt", "mit\nthe isc\ngnu", None),
+        ("a.txt", "Licensed under CC BY-NC-ND 4.0.", None),
+    ],
+)
+def test_license_templates(path, text, license):
+    from weftlink.llm.license_scan import _FILE, Templates
+
+    assert Templates(0.8).scan(text, bool(_FILE.match(path.lower())))[0] == license
+
+
+def test_license_file_names(spark):
+    files = [(1, "a/LICENSE-MIT", MIT_FILE), (2, "a/x.c", "int x;"), (3, "b/license.py", MIT_FILE), (4, "b/x.c", "int x;")]
+    got = {r.doc_id: (r.license, r.origin) for r in license_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("MIT", "own"), 4: (None, "none")}
+
+
 def test_license_scan_does_not_depend_on_the_table(spark):
     texts = ["This file is licensed under the Apache License, Version 2.0.", "Our project is licensed under the Apache License, Version 2.0."]
     files = [(i, f"d/{i}.txt", t) for i, t in enumerate(texts)] + [(2 + i, f"d/{2 + i}.txt", "this file and our project") for i in range(98)]
