@@ -171,6 +171,21 @@ def test_secrets(spark, docs):
     assert clean.filter("text is null").count() == df.filter("text is null").count()
 
 
+@pytest.fixture(scope="module")
+def net():
+    return train()
+
+
+def test_secrets_late_in_long_runs(spark, net):
+    key = "ghp_Qm4Zt81LrVxK0sPdY7bHnW2cFgJu93EaTo5i"
+    paths = ["/a/long/benign/path/that/goes/on/and/on/for/more/than/48/bytes/", "x=" + "some-long-benign-value-with-many-words-in-it-and-more=", "the_long_identifier_of_a_thing_that_goes_on_and_on_for_very_long_"]
+    texts = [p + end for p in paths for end in (key, "harmless_word_of_the_text")]
+    got = [r for r in secret_scan(spark.createDataFrame(rows_of(texts), SCHEMA), net).orderBy("doc_id").collect()]
+    assert [r.n_model for r in got] == [1, 0, 1, 0, 1, 0]
+    assert got[0].found == [key] and got[0].redacted == paths[0] + "[MODEL]"
+    assert all(key not in r.redacted for r in got)
+
+
 def test_suffix_array_by_lyndon_groups():
     r = random.Random(5)
     for n in range(120):

@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns plus a small character convolutional network over every further candidate.
 
 The base patterns' findings always stand. Candidates are all runs of key-like characters; each is scored together with
-the characters around it by a convolutional network in numpy. The network is trained on labelled findings; its logits
+the characters around it by a convolutional network in numpy. Where a run longer than the network sees at once is none as a
+whole, its parts between / and = and overlapping stretches of it are scored as well. The network is trained on labelled findings; its logits
 are calibrated on held-out ones (Platt scaling), and the threshold is the highest that keeps the asked recall there.
 """
 
@@ -9,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
+LEAST, STEP = 16, 8  # bytes of a candidate at least; between the stretches of a long one
 CLASSES = 48  # letters folded to 26, marks kept apart by the table below
 
 
@@ -263,22 +267,67 @@ def find_in(texts: list[str], raw: np.ndarray, off: np.ndarray, net: CharCNN | N
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if net is None:
         return base, added
-    s, e = _runs(KEYISH[raw], off, 16)
-    if not len(s):
-        return base, added
+    s, e = _runs(KEYISH[raw], off, LEAST)
     at = np.searchsorted(off, s, "right") - 1
-    for lo in range(0, len(s), 4096):
-        part = slice(lo, lo + 4096)
-        x = np.concatenate([windows(raw[off[d] : off[d + 1]][max(0, a - off[d] - 64) : b - off[d] + 16].tobytes(), [(min(64, a - off[d]), min(64, a - off[d]) + b - a)]) for a, b, d in zip(s[part], e[part], at[part], strict=True)])
-        good = net.scores(x) >= net.threshold
-        for a, b, d in zip(s[part][good], e[part][good], at[part][good], strict=True):
-            begin = len(raw[off[d] : a].tobytes().decode("utf-8", "replace"))
-            span = (begin, begin + int(b - a), 3)
-            if not any(x < span[1] and span[0] < y for x, y, _ in base[d]):
-                added[d].append(span)
+    # (start, end, text) of what scored
+    good = [(int(a), int(b), int(d)) for a, b, d in _scored(zip(s, e, at, strict=True), raw, off, net)]
+    whole = {a for a, _, _ in good}
+    long = [(int(a), int(b), int(d)) for a, b, d in zip(s, e, at, strict=True) if b - a > INSIDE and int(a) not in whole]
+    hits: dict[int, list[tuple[int, int]]] = {}
+    begins = np.array([a for a, _, _ in long], np.int64)
+    for a, b, _ in _scored(((x, y, d) for a, b, d in long for x, y in _pieces(raw, a, b)), raw, off, net):
+        hits.setdefault(int(np.searchsorted(begins, a, "right")) - 1, []).append((a, b))
+    good += [(x, y, long[k][2]) for k, found in hits.items() for x, y in _enclosed(raw, *long[k][:2], found)]
+    for a, b, d in sorted(good):
+        begin = len(raw[off[d] : a].tobytes().decode("utf-8", "replace"))
+        span = (begin, begin + b - a, 3)
+        if not any(x < span[1] and span[0] < y for x, y, _ in base[d]):
+            added[d].append(span)
     return base, added
 
 
+def _scored(spans, raw: np.ndarray, off: np.ndarray, net: CharCNN):
+    """Those of the (start, end, text) that the network takes for secrets."""
+    spans = iter(spans)
+    while part := list(islice(spans, 4096)):
+        x = np.concatenate([windows(raw[max(off[d], a - 64) : min(off[d + 1], b + 16)].tobytes(), [(min(64, a - off[d]), min(64, a - off[d]) + b - a)]) for a, b, d in part])
+        yield from (p for p, z in zip(part, net.scores(x) >= net.threshold, strict=True) if z)
+
+
+def _cuts(raw: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where / or = stands in a run; its ends count too."""
+    return np.concatenate([[a - 1], a + np.flatnonzero((raw[a:b] == 47) | (raw[a:b] == 61)), [b]])
+
+
+def _pieces(raw: np.ndarray, a: int, b: int):
+    """Parts of a long run between / and =, and overlapping stretches of what the network sees at once; steps are so short
+    that a key of 40 characters stands whole in one of them."""
+    cuts = _cuts(raw, a, b)
+    yield from ((x + 1, y) for x, y in zip(cuts.tolist(), cuts[1:].tolist()) if LEAST <= y - x - 1 < b - a)
+    yield from ((x, x + INSIDE) for x in range(a + STEP, b - INSIDE, STEP))
+    yield b - INSIDE, b
+
+
+def _enclosed(raw: np.ndarray, a: int, b: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of a long run's findings: parts as they are, other stretches out to the next / or =; those that overlap are one."""
+    cuts = _cuts(raw, a, b)
+    edges = set(cuts.tolist())
+    parts = sorted({(x, y) for x, y in found if x - 1 in edges and y in edges})
+    ends = [y for _, y in parts]
+    spans = list(parts)
+    for x, y in found:
+        k = bisect_right(ends, x)  # the first part that ends after x
+        if k == len(parts) or parts[k][0] >= y:
+            spans.append((int(cuts[np.searchsorted(cuts, x) - 1]) + 1, int(cuts[np.searchsorted(cuts, y)])))
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(spans):
+        if out and x < out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
