@@ -157,6 +157,27 @@ def test_html(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, has, lacks",
+    [
+        ('<div class="content with-sidebar"><p>{}</p></div>', 1, 0),
+        ('<div class="page no-comments"><article><p>{}</p></article></div>', 1, 0),
+        ('<div class="sidebar"><article><p>{}</p></article></div>', 1, 0),
+        ('<form><main><p>{}</p></main></form>', 1, 0),
+        ('<p>{}</p><section id="related-work"><h2 id="notice-period">{}</h2></section>', 2, 0),
+        ('<div class="article-header"><h1>{}</h1></div><p>{}</p>', 2, 0),
+        ('<p>{}</p><div id="social-impact">{}</div>', 2, 0),
+        ('<p>{}</p><div class="ad">Buy</div><p>{}</p>', 2, 1),
+        ('<p>{}</p><div class="site-footer"><p>Buy</p></div>', 1, 1),
+        ('<aside><article>Buy</article></aside><p>{}</p>', 1, 1),
+    ],
+)
+def test_names_of_elements(page, has, lacks):
+    text = "Some words that are the text of a page and go on for a while."
+    got = main_blocks("<body>" + page.replace("{}", text) + "</body>", TokenWeights())
+    assert got.count(text) == has and (not lacks or "Buy" not in got)
+
+
 def test_secrets(spark, docs):
     text = "é password: 'abc12' TOKEN = \"0123456789abcdef01234567\" AKIA" + "A" * 16 + " api_key=short secret: token: abcdefgh"
     assert [(k, text[a:b]) for a, b, k in base_spans(text)] == [(0, 'TOKEN = "0123456789abcdef01234567'), (2, "0123456789abcdef01234567"), (1, "AKIA" + "A" * 16)]

@@ -3,7 +3,8 @@
 A page is a sequence of tokens, words and tags. A word's weight says how much likelier words of its surroundings (the
 block element it stands in) are main text than not; a tag's weight is negative. Both are learned from labelled pages. A
 linear scan finds the contiguous run with the largest sum; its blocks, without those inside boilerplate elements, are
-the text.
+the text. A compound name that ends in a word of boilerplate makes an element doubtful only: its words weigh less, and the
+scan decides.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select option button canvas object audio video".split())
 DROPPED = frozenset("head nav footer aside form menu dialog fieldset".split()) | RAW
-# Words of class, id and role attributes that name boilerplate.
+# Dropped by name, but for an article or main element inside: whole pages stand in a form at times.
+LOOSE = frozenset("form dialog fieldset".split())
+# Class names, ids and roles that name boilerplate.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -40,23 +43,33 @@ class Block:
     dropped: bool
     in_article: bool
     tags: list[str] = field(default_factory=list)
+    doubtful: bool = False
 
+    def key(self) -> str:
+        """What the weight of the block's words is learned by."""
+        return self.inside + ("!" if self.dropped else "?" if self.doubtful else "")
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """The first class of an element and whether its class, id or role names boilerplate."""
-    first, bad = "", False
+
+def _names(attrs: str) -> tuple[str, bool, bool]:
+    """The first class of an element, whether one of its class names, its id or its role names boilerplate, and whether the
+    last word of a compound one does (site-footer; not related-work, with-sidebar or no-comments)."""
+    first, bad, doubtful = "", False, False
     for m in _ATTR.finditer(attrs):
-        value = (m[2] or m[3] or m[4] or "").lower()
+        names = (m[2] or m[3] or m[4] or "").lower().split()
         if m[1].lower() == "class" and not first:
-            first = value.split()[0] if value.split() else ""
-        bad |= not BOILERPLATE.isdisjoint(re.split(r"[\s_-]+", value))
-    return first, bad
+            first = names[0] if names else ""
+        for name in names:
+            bad |= name in BOILERPLATE
+            parts = re.split("[_-]+", name)
+            doubtful |= len(parts) > 1 and parts[-1] in BOILERPLATE and parts[-2] not in ("with", "no", "has", "without", "not", "hide")
+    return first, bad, doubtful
 
 
 def blocks(page: str) -> tuple[list[Block], list[str]]:
     """The page's blocks in order, and the tags after the last one. Unclosed and stray tags are tolerated."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # element, signature, dropped, inside an article
+    # element, signature, dropped for good, dropped unless an article follows inside, doubtful, inside an article
+    stack: list[tuple[str, str, bool, bool, bool, bool]] = [("", "", False, False, False, False)]
     parts: list[str] = []
     tags: list[str] = []
     at, n = 0, len(page)
@@ -66,8 +79,8 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            _, sign, drop, art = stack[-1]
-            out.append(Block(text, sign, drop, art, tags))
+            _, sign, hard, soft, doubt, art = stack[-1]
+            out.append(Block(text, sign, hard or soft, art, tags, doubt and not (hard or soft)))
             tags = []
 
     while at < n:
@@ -99,11 +112,17 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             stack.pop()
         if name in VOID:
             continue
-        first, bad = _names(m[3])
-        _, _, drop, art = stack[-1]
-        art_here = art or name in ("article", "main") or 'itemprop="articlebody"' in m[3].lower()
-        bad = bad and name not in ("body", "html", "article", "main") or name in DROPPED or name == "header" and not art
-        stack.append((name, f"{name}.{first}" if first else name, drop or bad, art_here))
+        first, bad, mixed = _names(m[3])
+        _, _, hard, soft, doubt, art = stack[-1]
+        marks = name in ("article", "main")
+        if marks and not art and not bad:  # an outermost one counts more than the names of what it stands in
+            soft = doubt = False
+        art_here = art or marks or 'itemprop="articlebody"' in m[3].lower()
+        hard = hard or name in DROPPED - LOOSE
+        soft = soft or bad and name not in ("body", "html", "article", "main") or name in LOOSE or name == "header" and not art
+        # a page's heading is no boilerplate, whatever a compound name around it says
+        doubt = (doubt or mixed and name not in ("body", "html", "article", "main")) and not art_here and name != "h1"
+        stack.append((name, f"{name}.{first}" if first else name, hard, soft, doubt, art_here))
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if name in ("script", "style", "textarea", "title"):
@@ -121,6 +140,7 @@ class TokenWeights:
     tags: dict[str, float] = field(default_factory=dict)
     word: float = 0.5
     dropped: float = -2.0
+    doubtful: float = 0.1
     tag: float = -0.3
 
     @classmethod
@@ -134,7 +154,7 @@ class TokenWeights:
                 continue
             for b in found:
                 good = b.in_article and not b.dropped
-                count.setdefault(("word", b.inside + ("!" if b.dropped else "")), [0, 0])[good] += b.text.count(" ") + 1
+                count.setdefault(("word", b.key()), [0, 0])[good] += b.text.count(" ") + 1
                 for t in b.tags:
                     count.setdefault(("tag", t), [0, 0])[good] += 1
         w = cls()
@@ -148,9 +168,9 @@ class TokenWeights:
 
     def of(self, b: Block) -> tuple[float, float]:
         """(sum over the tags before the block, sum over its words)."""
-        one = self.words.get(b.inside + ("!" if b.dropped else ""))
+        one = self.words.get(b.key())
         if one is None:
-            one = self.dropped if b.dropped else self.word
+            one = self.dropped if b.dropped else self.doubtful if b.doubtful else self.word
         tags, text = sum(self.tags.get(t, self.tag) for t in b.tags), one * (b.text.count(" ") + 1)
         if b.dropped:  # never part of the text: an advert in an article mustn't cost one of its halves
             least = -0.5 if b.in_article else -20.0
