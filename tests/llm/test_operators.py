@@ -16,7 +16,7 @@ from weftlink.llm.lyndon import suffix_array
 from weftlink.llm.packing import pack
 from weftlink.llm.quality import STATISTICS, RuleEnsemble, keep_good, quality_scores
 from weftlink.llm.queries import tokenizer_path
-from weftlink.llm.secret_scan import base_spans, redact_rows, secret_scan, train
+from weftlink.llm.secret_scan import base_spans, labelled_findings, redact_rows, secret_scan, train, windows
 from weftlink.llm.sentencepiece_codec import PieceCodec, piece_codec
 from weftlink.llm.suffix_dedup import suffix_dedup
 from weftlink.llm.vector_dedup import vector_dedup
@@ -207,6 +207,20 @@ def test_secrets_late_in_long_runs(spark, net):
     assert all(key not in r.redacted for r in got)
 
 
+def test_secrets_beside_base_findings(spark, net):
+    key, hexes = "ghp_Qm4Zt81LrVxK0sPdY7bHnW2cFgJu93EaTo5i", "0123456789abcdef01234567"
+    texts = [f"x {hexes}-{key} y", f"ü {hexes}-{key} y", f"x {hexes}-pronounceable-words y"]
+    got = secret_scan(spark.createDataFrame(rows_of(texts), SCHEMA), net).orderBy("doc_id").collect()
+    assert [(r.n_hex, r.n_model) for r in got] == [(1, 1), (1, 1), (1, 0)]
+    assert [r.redacted for r in got[:2]] == ["x [HEX][MODEL] y", "ü [HEX][MODEL] y"]
+
+
+def test_secret_threshold_keeps_the_recall(net):
+    rows, y = labelled_findings(3000, 12)  # those that the network is calibrated on
+    good = net.scores(np.concatenate([windows(t.encode(), [(a, b)]) for t, a, b in rows]))[y > 0]
+    assert (good >= net.threshold).mean() >= 0.99 and (good > net.threshold).mean() < 0.99 + 1e-9
+
+
 def test_suffix_array_by_lyndon_groups():
     r = random.Random(5)
     for n in range(120):

@@ -131,8 +131,8 @@ class CharCNN:
                     v[n] = 0.999 * v[n] + 0.001 * g[n] ** 2
                     setattr(self, n, getattr(self, n) - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, least: float) -> None:
-        """Platt scaling on held-out findings, then the highest threshold with the asked recall, at least ``least``."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """Platt scaling on held-out findings, then the highest threshold with the asked recall."""
         z = self.logits(x)
         a, b = 1.0, 0.0
         hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
@@ -146,7 +146,7 @@ class CharCNN:
             a, b = a - np.clip(d[0], -1, 1), b - np.clip(d[1], -2, 2)
         self.slope, self.shift = float(a), float(b)
         good = np.sort(self.scores(x)[y > 0])
-        self.threshold = max(least, float(good[int(np.floor((1 - recall) * len(good)))])) if len(good) else 1.0
+        self.threshold = float(good[int(np.floor((1 - recall) * len(good)))]) if len(good) else 1.0
 
 
 def _key(r: np.random.Generator, letters: str, n: int) -> str:
@@ -212,14 +212,14 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
     return rows, np.array(y)
 
 
-def train(n: int = 6000, epochs: int = 8, recall: float = 0.99, least: float = 0.9, seed: int = 11) -> CharCNN:
+def train(n: int = 6000, epochs: int = 8, recall: float = 0.99, seed: int = 11) -> CharCNN:
     """A network trained on ``n`` labelled findings and calibrated on half as many others."""
     rows, y = labelled_findings(n, seed)
     x = np.concatenate([windows(t.encode(), [(a, b)]) for t, a, b in rows])
     net = CharCNN.fresh(seed)
     net.fit(x, y, epochs, seed)
     rows, y = labelled_findings(n // 2, seed + 1)
-    net.calibrate(np.concatenate([windows(t.encode(), [(a, b)]) for t, a, b in rows]), y, recall, least)
+    net.calibrate(np.concatenate([windows(t.encode(), [(a, b)]) for t, a, b in rows]), y, recall)
     return net
 
 
@@ -267,6 +267,14 @@ def find_in(texts: list[str], raw: np.ndarray, off: np.ndarray, net: CharCNN | N
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if net is None:
         return base, added
+    # base findings are blanked out, so what is left of a run beside one is a candidate of its own
+    raw = raw.copy()
+    for k, found in enumerate(base):
+        if found:
+            flat = len(texts[k]) == off[k + 1] - off[k]
+            for x, y, _ in found:
+                x, y = (x, y) if flat else (len(texts[k][:x].encode()), len(texts[k][:y].encode()))
+                raw[off[k] + x : off[k] + y] = 32
     s, e = _runs(KEYISH[raw], off, LEAST)
     at = np.searchsorted(off, s, "right") - 1
     # (start, end, text) of what scored
@@ -280,9 +288,7 @@ def find_in(texts: list[str], raw: np.ndarray, off: np.ndarray, net: CharCNN | N
     good += [(x, y, long[k][2]) for k, found in hits.items() for x, y in _enclosed(raw, *long[k][:2], found)]
     for a, b, d in sorted(good):
         begin = len(raw[off[d] : a].tobytes().decode("utf-8", "replace"))
-        span = (begin, begin + b - a, 3)
-        if not any(x < span[1] and span[0] < y for x, y, _ in base[d]):
-            added[d].append(span)
+        added[d].append((begin, begin + b - a, 3))
     return base, added
 
 
@@ -336,10 +342,10 @@ def secret_scan(docs: DataFrame, net: CharCNN | None = None, id_col: str = "doc_
     """(``id_col``, n_assign, n_access, n_hex, n_model, base, spans, found, redacted), one row per input row.
 
     ``base`` and ``spans`` list kind:start:end (code points, end exclusive) by start, then kind; ``spans`` also holds
-    what the network adds (kind ``model``; a candidate that touches a base finding is part of it and not added).
+    what the network adds (kind ``model``; what a base finding leaves of a run is a candidate of its own).
     ``found``: the texts of all spans; ``redacted``: the text with each span replaced by its kind in brackets. Null and
     empty texts have no findings. Repeated rows and null ids pass through; an empty table gives an empty table. Every
-    candidate of a whole text is scored; texts are scanned in slices of a few MB.
+    candidate of a whole text is scored, shorter runs than 16 bytes are none; texts are scanned in slices of a few MB.
     """
     net = net or train()
 
