@@ -13,7 +13,7 @@ from weftlink.llm.exact_dedup import CuckooIndex
 from weftlink.llm.html_text import TokenWeights, main_blocks, main_text
 from weftlink.llm.license_scan import license_scan
 from weftlink.llm.lyndon import suffix_array
-from weftlink.llm.packing import pack
+from weftlink.llm.packing import Encoder, pack
 from weftlink.llm.quality import STATISTICS, RuleEnsemble, keep_good, quality_scores
 from weftlink.llm.queries import tokenizer_path
 from weftlink.llm.secret_scan import base_spans, labelled_findings, redact_rows, secret_scan, train, windows
@@ -124,6 +124,16 @@ def test_pack(spark, docs):
     assert pack(docs.limit(0), path).count() == 0
 
 
+def test_pack_special_token_in_text():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["plain words"] * 20 + ["a <|endoftext|> b", "<|endoftext|>", "a <|endoftext b", ""]
+    tok = Tokenizer.from_file(path)
+    got = [x.tolist() for x in Encoder(path, np.dtype("<u4"))(texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[20]
+
+
 def test_piece_codec(spark, docs):
     with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
         data = f.read()

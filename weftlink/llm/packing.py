@@ -24,13 +24,11 @@ _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s
 
 
 def load_tokenizer(path: str):
-    """A tokenizers file, loaded once per Python worker. Special tokens' strings in a text are ordinary text."""
+    """A tokenizers file, loaded once per Python worker. Special tokens' strings in a text are those tokens."""
     if path not in _LOADED:
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _LOADED[path] = t
+        _LOADED[path] = Tokenizer.from_file(path)
     return _LOADED[path]
 
 
@@ -45,7 +43,7 @@ class Encoder:
     """Ids of texts under a tokenizers file.
 
     Where the file is plain byte-level BPE whose ids follow the order of merges, the same vocabulary runs as ranks in
-    tiktoken, several times faster. The first texts of each task are encoded by tokenizers as well; should they ever
+    tiktoken, several times faster; texts with an added token's string go to tokenizers. The first texts of each task are encoded by tokenizers as well; should they ever
     differ, tokenizers encodes all.
     """
 
@@ -53,8 +51,9 @@ class Encoder:
         self.tok, self.kind, self.compare = load_tokenizer(path), kind, compare
         key = path + "|ranks"
         if key not in _LOADED:
-            _LOADED[key] = self._ranks(json.loads(self.tok.to_str()))
-        self.fast = _LOADED[key]
+            spec = json.loads(self.tok.to_str())
+            _LOADED[key] = self._ranks(spec), [t["content"] for t in spec.get("added_tokens", [])]
+        self.fast, self.added = _LOADED[key]
 
     @staticmethod
     def _ranks(spec: dict):
@@ -82,13 +81,16 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast is not None:
-            out = [self.fast.encode_to_numpy(t, disallowed_special=()).astype(self.kind) for t in texts]
+            out = [self._plain(t) if any(a in t for a in self.added) else self.fast.encode_to_numpy(t, disallowed_special=()).astype(self.kind) for t in texts]
             few, self.compare = texts[: self.compare], max(0, self.compare - len(texts))
             if all(np.array_equal(a, e.ids) for a, e in zip(out, self.tok.encode_batch_fast(few, add_special_tokens=False), strict=False)):
                 return out
             self.fast = None
         return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+
 
 def _tokenise(path: str, end_id: int):
     """(id, text) -> (id, part, start within the part, number of ids, ids as little-endian 16- or 32-bit integers)."""
