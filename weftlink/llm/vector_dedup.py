@@ -2,14 +2,16 @@
 
 Vectors are cut in two halves; each half has a codebook of its own, so the pairs of codewords form a grid of cells. A
 vector is stored in one cell and looks for neighbours in the cells that a multi-sequence traversal visits, nearest
-first, as many as a bounded sample needed for the target recall. In a cell every visitor is verified against every
-resident by the exact cosine in double precision.
+first, as many as a bounded sample needed for the target recall. The codebooks grow with the table, so that a cell keeps
+its size. In a cell every visitor is verified against every resident by the exact cosine in double precision.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlink.llm.components import components
-from weftlink.llm.shared import lean, partitions, stored
+from weftlink.llm.shared import lean, mix, partitions, stored
 from weftlink.llm.shingle_join import Forest
 
 SAMPLE_ROWS = 20_000  # most vectors that codebooks and the number of visits are fitted on
-
+WIDTH = 512  # components of a half that codebooks see; longer halves are folded to it
+LEAST_WORDS = 4  # codewords of a half at least; at most an eighth of the sample
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     r = np.random.default_rng(seed)
@@ -60,199 +63,284 @@ class MultiIndex:
     visits: int
 
     @classmethod
-    def fit(cls, x: np.ndarray, groups: np.ndarray, words: int, threshold: float, recall: float, seed: int = 3) -> MultiIndex:
-        """Codebooks from unit vectors ``x``; visits so that ``recall`` of the sample's links (equal group, cosine at or
-        over ``threshold``) are found, measured by brute force; where the sample has too few links, from vectors moved
-        to the threshold."""
-        half = x.shape[1] // 2
-        index = cls(_kmeans(x[:, :half], words, seed), _kmeans(x[:, half:], words, seed + 1), 1)
+    def fit(cls, a: np.ndarray, b: np.ndarray, x: list[np.ndarray], groups: np.ndarray, words: int, threshold: float, recall: float, seed: int = 3) -> MultiIndex:
+        """Codebooks from the halves ``a`` and ``b`` of the unit vectors ``x``; visits so that ``recall`` of the sample's
+        links (equal group, cosine at or over ``threshold``) are found, measured by brute force, and as much of links
+        exactly at the threshold, made from vectors of the sample by a turn in a random direction."""
+        index = cls(_kmeans(a, words, seed), _kmeans(b, words, seed + 1), 1)
         r = np.random.default_rng(seed)
-        part = r.permutation(len(x))[:2000]
-        pairs = []
-        for lo in range(0, len(part), 256):
-            a = part[lo : lo + 256]
-            i, j = np.nonzero((x[a] @ x.T >= threshold) & (groups[a][:, None] == groups[None]) & (a[:, None] != np.arange(len(x))[None]))
-            pairs.append(np.stack([x[a[i]], x[j]], axis=1)[:20_000])
-        found = np.concatenate(pairs)[:20_000]
-        base = x[r.permutation(len(x))[:1000]]
-        noise = r.normal(size=base.shape)
-        noise -= (noise * base).sum(1)[:, None] * base
-        noise /= np.linalg.norm(noise, axis=1)[:, None] + 1e-12
-        moved = threshold * base + (1 - threshold**2) ** 0.5 * noise
+        width = a.shape[1]
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        by_group: dict[object, list[int]] = {}
+        for k in r.permutation(len(x)).tolist():
+            by_group.setdefault(groups[k], []).append(k)
+        left = 2000  # vectors whose links are looked up, 20,000 links in all
+        for rows in by_group.values():
+            part, every = rows[:left], np.array([x[k] for k in rows])
+            left -= len(part)
+            for lo in range(0, len(part), 256):
+                i, j = np.nonzero(every[lo : min(lo + 256, len(part))] @ every.T >= threshold)
+                i += lo
+                i, j = i[i != j][:20_000], j[i != j][:20_000]
+                rows_ = np.array(rows)
+                ends.append((rows_[i], rows_[j]))
+            if left <= 0:
+                break
         need = []
-        for a, b in (found[r.permutation(len(found))[:2000]].transpose(1, 0, 2), (base, moved)):
-            if not len(a):
-                continue
-            home = index.home(b)
-            back = index.home(a)
-            ranks = np.minimum(index.rank(a, home), index.rank(b, back))  # either end may find the link
-            need.append(int(np.quantile(ranks, recall, method="higher")) + 1)
-        index.visits = max(need, default=1)
+        u, v = (np.concatenate([e[k] for e in ends]) if ends else np.zeros(0, np.int64) for k in (0, 1))
+        use = r.permutation(len(u))[:2000]
+        if len(use):
+            need.append(index._need((a[u[use]], b[u[use]]), (a[v[use]], b[v[use]]), recall))
+        some = r.permutation(len(x))[:1000].tolist()
+        moved = []
+        for k in some:
+            noise = r.normal(size=len(x[k]))
+            noise -= noise @ x[k] * x[k]
+            size = np.linalg.norm(noise)
+            moved.append(threshold * x[k] + (1 - threshold**2) ** 0.5 * noise / size if size > 1e-9 else x[k])
+        ma, mb = halves(np.concatenate(moved), np.array([len(m) for m in moved]), width)
+        need.append(index._need((a[some], b[some]), (ma, mb), recall))
+        index.visits = max(need)
         return index
 
-    def _far(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        half = len(self.first[0])
-        return tuple(((x[:, s] ** 2).sum(1)[:, None] - 2 * x[:, s] @ c.T + (c**2).sum(1)[None]) for s, c in ((slice(None, half), self.first), (slice(half, None), self.second)))  # type: ignore[return-value]
+    def _need(self, u: tuple[np.ndarray, np.ndarray], v: tuple[np.ndarray, np.ndarray], recall: float) -> int:
+        """Visits after which ``recall`` of the links are found; either end may find one."""
+        ranks = np.minimum(self.rank(*u, self.home(*v)), self.rank(*v, self.home(*u)))
+        return int(np.quantile(ranks, recall, method="higher")) + 1
 
-    def home(self, x: np.ndarray) -> np.ndarray:
-        da, db = self._far(x)
+    def _far(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple((h**2).sum(1)[:, None] - 2 * h @ c.T + (c**2).sum(1)[None] for h, c in ((a, self.first), (b, self.second)))  # type: ignore[return-value]
+
+    def home(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        da, db = self._far(a, b)
         return da.argmin(1) * len(self.second) + db.argmin(1)
 
-    def rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    def rank(self, a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """How many cells the traversal from each vector visits before ``cell``."""
-        da, db = self._far(x)
-        grid = (da[:, :, None] + db[:, None, :]).reshape(len(x), -1)
-        return (grid < grid[np.arange(len(x)), cell][:, None]).sum(1)
+        out = np.zeros(len(a), np.int64)
+        for lo in range(0, len(a), 256):
+            da, db = self._far(a[lo : lo + 256], b[lo : lo + 256])
+            i, j = np.divmod(cell[lo : lo + 256], len(self.second))
+            for k, (p, q) in enumerate(zip(da, db, strict=True)):
+                out[lo + k] = np.searchsorted(np.sort(q), p[i[k]] + q[j[k]] - p - 1e-12, "left").sum()
+        return out
 
-    def search(self, x: np.ndarray) -> list[list[int]]:
-        da, db = self._far(x)
-        return [[i * len(self.second) + j for _, i, j in multi_sequence(a, b, self.visits)] for a, b in zip(da, db, strict=True)]
+    def search(self, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+        da, db = self._far(a, b)
+        return [[i * len(self.second) + j for _, i, j in multi_sequence(p, q, self.visits)] for p, q in zip(da, db, strict=True)]
 
 
 def _usable(c: str) -> F.Column:
     """Vectors with components, all finite, not all zero; a vector with a null component is not."""
     ok = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return F.coalesce(F.col(c).isNotNull() & (F.size(c) > 1) & ok & F.exists(c, lambda v: v != 0), F.lit(False))
+    return F.coalesce(F.col(c).isNotNull() & (F.size(c) > 0) & ok & F.exists(c, lambda v: v != 0), F.lit(False))
+
+
+def unit(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Vectors of any lengths, one after another, each scaled to length 1, in double precision."""
+    at = np.cumsum(sizes) - sizes
+    x = flat.astype(np.float64)
+    x /= np.repeat(np.maximum.reduceat(np.abs(x), at), sizes)
+    return x / np.repeat(np.sqrt(np.add.reduceat(x * x, at)), sizes)
+
+
+def halves(flat: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second half of each vector as rows of ``width``: shorter ones are filled with zeros, of longer ones
+    the components beyond are added to the first, with signs by their place."""
+    at = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(at, sizes)
+    cut = np.repeat(sizes // 2, sizes)
+    second = place >= cut
+    place = np.where(second, place - cut, place)
+    with np.errstate(over="ignore"):
+        sign = np.where((place >= width) & (mix(place.astype(np.uint64)) & np.uint64(1) > 0), -1.0, 1.0)
+    to, value = row * width + place % width, flat * sign
+    return tuple(np.bincount(to[part], value[part], len(sizes) * width).reshape(-1, width) for part in (~second, second))  # type: ignore[return-value]
 
 
-def _unit_rows(col: pa.Array, dim: int) -> np.ndarray:
-    x = np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), dim)
-    x = x / np.abs(x).max(1)[:, None]
-    return x / np.linalg.norm(x, axis=1)[:, None]
+def _keyed(kind: np.dtype):
+    """(id, group, vector or null) -> the vector's bytes and a digest of group and vector; -0.0 counts as 0.0."""
+
+    def run(batches):
+        for b in batches:
+            vec = b.column(2)
+            sizes = vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = vec.flatten().to_numpy(zero_copy_only=False).astype(kind) + kind.type(0)
+            cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            none = vec.is_null().to_pylist()
+            raw = [None if z else flat[x:y].tobytes() for z, x, y in zip(none, cuts, cuts[1:])]
+            keys = [None if v is None else hashlib.sha256(len(g := group.encode("utf-8", "surrogatepass")).to_bytes(8, "little") + g + v).digest() for group, v in zip(b.column(1).to_pylist(), raw, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), b.column(1), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], names=["wl_id", "wl_key", "wl_grp", "wl_dim", "wl_vec"])
+
+    return run
 
 
-def _visit(index: MultiIndex, dim: int):
-    """(set, group, vector) -> one row per visited cell; ``home`` says which is the vector's own, ``seen`` lists all."""
+def _visit(index: MultiIndex, kind: np.dtype, width: int):
+    """(set, group, length, vector, weight) -> one row per visited cell; the vector's own cell also holds the list of all."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
-                x = _unit_rows(b.column(2), dim)
-                home, cells = index.home(x), index.search(x)
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                sizes = b.column(2).to_numpy().astype(np.int64)
+                h = halves(unit(np.frombuffer(b"".join(b.column(3).to_pylist()), kind), sizes), sizes, width)
+                home, cells = index.home(*h), index.search(*h)
                 cells = [[h, *[c for c in v if c != h]] for h, v in zip(home.tolist(), cells, strict=True)]
-                at = np.repeat(np.arange(len(x)), [len(v) for v in cells])
+                many = np.array([len(v) for v in cells])
+                at = np.repeat(np.arange(len(cells)), many)
+                first = np.cumsum(many) - many
+                seen: list = [None] * len(at)
+                for k, v in zip(first.tolist(), cells, strict=True):
+                    seen[k] = np.array(v, np.int32).tobytes()
                 take = pa.array(at)
-                flat = [c for v in cells for c in v]
-                seen = [np.array(v, np.int32).tobytes() for v in cells]
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(flat, pa.int32()), pa.array((home[at] == np.array(flat))), pa.array(seen, pa.binary()).take(take), raw.take(take), b.column(3).take(take)],
-                    names=["id", "grp", "cell", "resident", "seen", "vec", "weight"],
+                    [*[b.column(k).take(take) for k in (0, 1, 2)], pa.array([c for v in cells for c in v], pa.int32()), pa.array(home[at].astype(np.int32)), pa.array(seen, pa.binary()), b.column(3).take(take), b.column(4).take(take)],
+                    names=["id", "grp", "dim", "cell", "home", "seen", "vec", "weight"],
                 )
 
     return run
 
 
-def _verify(threshold: float):
-    """Rows of whole (group, cell, strips) keys -> (u, v, n): v null: n links of u; else u and v are linked."""
+def meet(vec: np.ndarray, ids: np.ndarray, weight: np.ndarray, cell: int, home: np.ndarray, seen: list, role: np.ndarray, threshold: float) -> list[tuple[int, int | None, int]]:
+    """Residents and visitors of one cell -> (u, v, n): v null: n links of u; else u and v are linked, enough of those to
+    join what hangs together. ``role`` 1: stands as resident here; 2: as visitor; 3: both."""
+    res, vis = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    forest, n, out = Forest(len(ids)), np.zeros(len(ids), np.int64), []
+    paths = np.frombuffer(b"".join(seen[k] for k in res.tolist()), np.int32)
+    cuts = np.cumsum([0, *[len(seen[k]) // 4 for k in res.tolist()]])
+    goes: dict[int, np.ndarray] = {}  # whether each resident visits a cell itself
+    for lo in range(0, len(vis), 1024):
+        a = vis[lo : lo + 1024]
+        for co in range(0, len(res), 2048):
+            b = res[co : co + 2048]
+            hit = (vec[a] @ vec[b].T >= threshold) & (ids[a][:, None] != ids[b][None])
+            some = np.flatnonzero(hit.any(1))
+            if not len(some):
+                continue
+            a_, hit = a[some], hit[some]
+            n[a_] += hit @ weight[b]  # the visitor comes to the resident's cell once
+            # the resident counts a link here unless it visits the visitor's own cell itself
+            for other in np.unique(home[a_][home[a_] != cell]).tolist():
+                if other not in goes:
+                    sums = np.concatenate([[0], np.cumsum(paths == other)])
+                    goes[other] = sums[cuts[1:]] > sums[cuts[:-1]]
+                rows = home[a_] == other
+                n[b] += np.where(goes[other][co : co + 2048], 0, weight[a_[rows]] @ hit[rows])
+            for k, i in enumerate(a_.tolist()):
+                out += [(int(ids[i]), int(ids[j]), 0) for j in forest.link(i, b[hit[k]])]
+    return out + [(int(ids[k]), None, int(n[k])) for k in np.flatnonzero(n).tolist()]
+
+
+def _verify(kind: np.dtype, threshold: float):
+    """Rows sorted by (group, length, cell, strips) -> what ``meet`` finds in each; one cell is held at a time."""
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        key, ids, home, weight, role = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1, 3, 6, 7))
-        seen = [np.frombuffer(s, np.int32) for b in held for s in b.column(4).to_pylist()]
-        vec = np.frombuffer(b"".join(v for b in held for v in b.column(5).to_pylist()), np.float64).reshape(len(ids), -1)
-        order = np.lexsort((ids, key))
-        us, vs, ns = [], [], []
-        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            # role 1: stands as resident here; 2: as visitor; 3: both
-            res, vis = part[(role[part] & 1) > 0], part[(role[part] & 2) > 0]
-            if not len(res) or not len(vis):
+        held, last, out = [], None, []
+
+        def settle():
+            part = pa.Table.from_batches(held)
+            role = part["role"].to_numpy()
+            if (role & 1).any() and len(role) > 1:
+                ids, weight, home = (part[c].to_numpy() for c in ("id", "weight", "home"))
+                sizes = np.full(len(ids), part["dim"][0].as_py())
+                vec = unit(np.frombuffer(b"".join(part["vec"].to_pylist()), kind), sizes).reshape(len(ids), -1)
+                out.extend(meet(vec, ids, weight, part["cell"][0].as_py(), home, part["seen"].to_pylist(), role, threshold))
+
+        def batch():
+            us, vs, ns = zip(*out) if out else ((), (), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], names=["u", "v", "n"])
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            place = np.zeros(len(ids), np.int64)
-            place[part] = np.arange(len(part))
-            forest = Forest(len(part))
-            n = np.zeros(len(part), np.int64)
-            for lo in range(0, len(vis), 512):
-                a = vis[lo : lo + 512]
-                for co in range(0, len(res), 2048):
-                    b = res[co : co + 2048]
-                    hit = (vec[a] @ vec[b].T >= threshold) & (ids[a][:, None] != ids[b][None])
-                    if not hit.any():
-                        continue
-                    n[place[a]] += hit @ weight[b]  # the visitor comes to the resident's cell once
-                    # the resident counts a link here unless it visits the visitor's own cell itself
-                    foreign = np.flatnonzero(~home[a] & hit.any(1))
-                    for k in foreign.tolist():
-                        q = b[hit[k]]
-                        unseen = q[[int(seen[a[k]][0]) not in seen[x] for x in q.tolist()]]
-                        n[place[unseen]] += int(weight[a[k]])
-                    for k in np.flatnonzero(hit.any(1)).tolist():
-                        for other in forest.link(int(place[a[k]]), place[b[hit[k]]]):
-                            us.append(int(ids[a[k]]))
-                            vs.append(int(ids[part[other]]))
-                            ns.append(0)
-            for p in np.flatnonzero(n).tolist():
-                us.append(int(ids[part[p]]))
-                vs.append(None)
-                ns.append(int(n[p]))
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], names=["u", "v", "n"])
+            grp = b.column(b.schema.get_field_index("grp")).dictionary_encode()
+            codes = [grp.indices.to_numpy(), *[b.column(b.schema.get_field_index(c)).to_numpy() for c in ("dim", "cell", "a", "b")]]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
+            edges = [0, *new.tolist(), b.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                key = (grp.dictionary[int(codes[0][lo])].as_py(), *[int(c[lo]) for c in codes[1:]])
+                if key != last and held:
+                    settle()
+                    held = []
+                    if len(out) > 50_000:
+                        yield batch()
+                held.append(b.slice(lo, hi - lo))
+                last = key
+        if held:
+            settle()
+        yield batch()
 
     return run
 
 
 def vector_dedup(
-    vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, words: int = 16, strip: int = 1024, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = "label"
+    vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, cell: int = 256, strip: int = 4096, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = "label"
 ) -> DataFrame:
     """(``id_col``, n_links, component_id, kept), one row per input row.
 
     Two vectors are compared when of equal length and, with ``group_col``, of equal groups that aren't null; they are
     linked at a cosine >= ``threshold`` in double precision. ``n_links``: other rows linked directly; ``component_id``:
-    the smallest id reachable; ``kept``: the row's id is that. Null, empty, one-component and zero vectors, and those
+    the smallest id reachable; ``kept``: the row's id is that. Null, empty and zero vectors, and those
     with null or non-finite components link with nothing. Ids must be 64-bit integers and name a row: repeated rows are
     vectors of their own and links of one another. Rows with a null id link with nothing. An empty table gives an empty
-    table. Equal vectors of a group are merged first, and a cell with more than ``strip`` residents or visitors is dealt
-    to square strips, so copies and crowded cells never meet in one task. Codebooks are fitted on at most
-    ``sample_rows`` vectors; every vector is indexed.
+    table. Equal vectors of a group are merged first, by a SHA-256 of group and vector. The codebooks are so large that a
+    cell of a group of usual size holds ``cell`` vectors, up to an eighth of the sample; a cell with more than ``strip``
+    residents or visitors is dealt to strips, so copies and crowded cells never meet in one task. Codebooks are fitted on
+    at most ``sample_rows`` vectors of all lengths; every vector is indexed.
     """
-    spark = vectors.sparkSession
     group = F.lit("") if group_col is None else F.col(group_col).cast("string")
-    d = vectors.select(F.col(id_col).cast("long").alias("wl_id"), group.alias("wl_group"), F.col(vector_col).cast(T.ArrayType(T.DoubleType())).alias("wl_vec"))
-    good = F.col("wl_id").isNotNull() & F.col("wl_group").isNotNull() & _usable("wl_vec")
-    rows = stored(d.select("wl_id", F.when(good, F.xxhash64("wl_group", F.size("wl_vec"))).alias("wl_grp"), F.when(good, F.col("wl_vec")).alias("wl_vec")), "vectors")
-    ok = rows.filter("wl_grp is not null")
-    # -0.0 and 0.0 are equal numbers but different hashes
-    same = F.transform("wl_vec", lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v))
-    sets = stored(ok.groupBy("wl_grp", same.alias("wl_vec")).agg(F.min("wl_id").alias("least_id"), F.count("*").alias("weight")), "distinct-vectors")
-    sets = sets.withColumn("id", F.xxhash64("wl_grp", "wl_vec"))
-    found, parts = None, partitions(spark)
-    for dim in sorted(r[0] for r in ok.select(F.size("wl_vec")).distinct().limit(1000).collect()):
-        of_dim = sets.filter(F.size("wl_vec") == dim)
-        sample = of_dim.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(sample_rows).select("wl_grp", "wl_vec").toPandas()
-        x = np.stack(sample["wl_vec"].to_numpy()).astype(float)
-        x = x / np.abs(x).max(1)[:, None]
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        index = MultiIndex.fit(x, sample["wl_grp"].to_numpy(), words, threshold, recall)
-        seen = of_dim.select("id", "wl_grp", "wl_vec", "weight").mapInArrow(lean(_visit(index, dim)), "id long, grp long, cell int, resident boolean, seen binary, vec binary, weight long")
-        seen = stored(seen, "visits")
-        size = seen.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.count_if("resident").alias("r")).filter("r > 0 and n > 1")
-        k = F.ceil(F.col("n") / strip).cast("int")
-        mine = F.pmod(F.xxhash64("id", F.lit(5)), F.col("k")).cast("int")
-        placed = seen.join(size, ["grp", "cell"]).withColumn("k", k).withColumn("mine", mine)
-        # cell (a, b): residents of strip a meet visitors of strip b
-        every = F.sequence(F.lit(0), F.col("k") - 1)
-        as_visitor = F.transform(every, lambda s: F.struct(s.alias("a"), F.col("mine").alias("b"), F.when(F.col("resident") & (s == F.col("mine")), 3).otherwise(2).alias("role")))
-        as_resident = F.filter(F.transform(every, lambda s: F.struct(F.col("mine").alias("a"), s.alias("b"), F.lit(1).alias("role"))), lambda s: F.col("resident") & (s["b"] != F.col("mine")))
-        spread = placed.withColumn("at", F.explode(F.concat(as_visitor, as_resident)))
-        spread = spread.select(F.xxhash64("grp", "cell", "at.a", "at.b").alias("key"), "id", "cell", "resident", "seen", "vec", "weight", F.col("at.role").alias("role"))
-        part = spread.repartition(parts * 2, "key").mapInArrow(lean(_verify(threshold)), "u long, v long, n long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "u long, v long, n long")
-    found = stored(found, "vector-links")
+    single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = np.dtype("<f4" if single else "<f8")
+    d = vectors.select(F.col(id_col).cast("long").alias("wl_id"), group.alias("wl_grp"), F.col(vector_col).cast(T.ArrayType(T.FloatType() if single else T.DoubleType())).alias("wl_vec"))
+    good = F.col("wl_id").isNotNull() & F.col("wl_grp").isNotNull() & _usable("wl_vec")
+    d = d.select("wl_id", "wl_grp", F.when(good, F.col("wl_vec")).alias("wl_vec"))
+    rows = stored(d.mapInArrow(lean(_keyed(kind)), "wl_id long, wl_key binary, wl_grp string, wl_dim int, wl_vec binary"), "vectors")
+    sets = rows.filter("wl_key is not null").groupBy("wl_key").agg(F.first("wl_grp").alias("grp"), F.first("wl_dim").alias("dim"), F.first("wl_vec").alias("vec"), F.min("wl_id").alias("least_id"), F.count("*").alias("weight"))
+    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "distinct-vectors")
+    found = stored(_links(sets, kind, threshold, recall, cell, strip, sample_rows), "vector-links")
     links = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("n"))
     classes = components(found.filter("v is not null").select("u", "v"))
     per_set = (
-        sets.select("wl_grp", "wl_vec", "id", "weight", "least_id")
+        sets.select("wl_key", "id", "weight", "least_id")
         .join(links.withColumnRenamed("u", "id"), "id", "left")
         .join(classes, "id", "left")
-        .select("id", "least_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("class"))
+        .select("wl_key", "least_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("class"))
     )
     per_set = stored(per_set, "vector-classes")
     named = per_set.groupBy("class").agg(F.min("least_id").alias("component_id"))
-    per_set = per_set.join(named, "class").select("id", "n_links", "component_id")
-    keyed = rows.select("wl_id", F.when(F.col("wl_grp").isNotNull(), F.xxhash64("wl_grp", same)).alias("id"))
-    out = keyed.join(per_set, "id", "left").select("wl_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "wl_id").alias("component_id"))
+    per_set = per_set.join(named, "class").select("wl_key", "n_links", "component_id")
+    out = rows.select("wl_id", "wl_key").join(per_set, "wl_key", "left").select("wl_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "wl_id").alias("component_id"))
     return out.select(F.col("wl_id").alias(id_col), "n_links", "component_id", F.col("wl_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _links(sets: DataFrame, kind: np.dtype, threshold: float, recall: float, cell: int, strip: int, sample_rows: int) -> DataFrame:
+    """(u, v, n) of distinct vectors: v null: n links of u; else u and v are linked."""
+    spark = sets.sparkSession
+    usual = sets.groupBy("grp", "dim").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n"), F.max("dim")).first()
+    if usual[0] is None:
+        return spark.createDataFrame([], "u long, v long, n long")
+    sample = sets.orderBy(F.xxhash64("wl_key", F.lit(9)), "wl_key").limit(sample_rows).select("grp", "dim", "vec").collect()
+    sizes = np.array([r.dim for r in sample])
+    flat = unit(np.frombuffer(b"".join(bytes(r.vec) for r in sample), kind), sizes)
+    width = min(WIDTH, int(usual[1] + 1) // 2)
+    words = min(max(LEAST_WORDS, ceil(sqrt(usual[0] / cell))), max(LEAST_WORDS, len(sample) // 8))
+    groups = np.empty(len(sample), object)
+    groups[:] = [(r.grp, r.dim) for r in sample]
+    index = MultiIndex.fit(*halves(flat, sizes, width), np.split(flat, np.cumsum(sizes)[:-1]), groups, words, threshold, recall)
+    visits = sets.select("id", "grp", "dim", "vec", "weight").mapInArrow(lean(_visit(index, kind, width)), "id long, grp string, dim int, cell int, home int, seen binary, vec binary, weight long")
+    visits = stored(visits, "visits")
+    keys = ["grp", "dim", "cell"]
+    size = visits.groupBy(*keys).agg(F.count("*").alias("n"), F.count("seen").alias("r")).filter("r > 0 and n > 1")
+    size = size.select(*keys, F.ceil(F.col("r") / strip).cast("int").alias("ka"), F.ceil(F.col("n") / strip).cast("int").alias("kb"))
+    # strip a of the residents meets strip b of the visitors in a place of its own
+    placed = visits.join(size, keys).withColumn("my_a", F.pmod(F.xxhash64("id", F.lit(5)), F.col("ka")).cast("int")).withColumn("my_b", F.pmod(F.xxhash64("id", F.lit(6)), F.col("kb")).cast("int"))
+    resident = F.col("seen").isNotNull()
+    as_visitor = F.transform(F.sequence(F.lit(0), F.col("ka") - 1), lambda s: F.struct(s.alias("a"), F.col("my_b").alias("b"), F.when(resident & (s == F.col("my_a")), 3).otherwise(2).alias("role")))
+    as_resident = F.transform(F.sequence(F.lit(0), F.col("kb") - 1), lambda s: F.struct(F.col("my_a").alias("a"), s.alias("b"), F.lit(1).alias("role")))
+    as_resident = F.filter(as_resident, lambda s: resident & (s["b"] != F.col("my_b")))
+    spread = placed.withColumn("at", F.explode(F.concat(as_visitor, as_resident)))
+    spread = spread.select("grp", "dim", "cell", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "id", "home", "seen", "vec", "weight", F.col("at.role").alias("role"))
+    place = ["grp", "dim", "cell", "a", "b"]
+    return spread.repartition(partitions(spark) * 2, *place).sortWithinPartitions(*place).mapInArrow(lean(_verify(kind, threshold)), "u long, v long, n long")
