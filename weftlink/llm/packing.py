@@ -8,19 +8,36 @@ multiples of the window: a document that crosses a cut leaves one boundary recor
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.shared import lean, slices, stored, text_of
+from weftlink.llm.shared import buffers, lean, ranges, slices, stored, text_of
 
 _LOADED: dict[str, object] = {}
-# Fixed value: the pattern that byte-level BPE files of this kind split texts by, runs possessive.
-_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+# Byte-level files split texts into words by a pattern that starts a new word at every space before something that is no
+# white space, so what stands before such a space has no part in what follows it.
+_CUT = re.compile(r" (?=\S)")
+_WORD = re.compile(r"\S+")
+SLICE = 16 << 20  # bytes of text whose equal pieces are encoded once
+
+
+def _blanks() -> np.ndarray:
+    """Bytes that white space may begin with."""
+    t = np.zeros(256, bool)
+    for c in range(0x10000):
+        if chr(c).isspace() or c == 0x180E:  # once a space, to some
+            t[chr(c).encode()[0]] = True
+    return t
+
+
+_BLANK = _blanks()
 
 
 def load_tokenizer(path: str):
@@ -32,64 +49,91 @@ def load_tokenizer(path: str):
     return _LOADED[path]
 
 
-def _byte_letters() -> dict[str, int]:
-    """How byte-level files spell bytes: printable ones as themselves, the others as the letters from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Encoder:
-    """Ids of texts under a tokenizers file.
+    """Ids of texts under a tokenizers file, as bytes; every id comes from the tokenizers library.
 
-    Where the file is plain byte-level BPE whose ids follow the order of merges, the same vocabulary runs as ranks in
-    tiktoken, several times faster; texts with an added token's string go to tokenizers. The first texts of each task are encoded by tokenizers as well; should they ever
-    differ, tokenizers encodes all.
+    A byte-level BPE file without a normaliser encodes words one by one. So texts are cut where such a file always begins
+    a new word, and of equal pieces one is encoded. A text that holds an added token's string, and any text under
+    another kind of file, is encoded whole.
     """
 
-    def __init__(self, path: str, kind: np.dtype, compare: int = 16):
-        self.tok, self.kind, self.compare = load_tokenizer(path), kind, compare
-        key = path + "|ranks"
+    def __init__(self, path: str, kind: np.dtype):
+        self.tok, self.kind = load_tokenizer(path), kind
+        key = f"{path}|{kind.str}"
         if key not in _LOADED:
             spec = json.loads(self.tok.to_str())
-            _LOADED[key] = self._ranks(spec), [t["content"] for t in spec.get("added_tokens", [])]
-        self.fast, self.added = _LOADED[key]
+            opens = np.zeros(self.tok.get_vocab_size(), bool)
+            opens[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t[0] == "\u0120"]] = True  # how such files spell a space
+            _LOADED[key] = self._word_by_word(spec), [t["content"] for t in spec.get("added_tokens", [])], opens
+        self.by_pieces, self.added, self.opens = _LOADED[key]  # type: ignore[misc]
 
     @staticmethod
-    def _ranks(spec: dict):
+    def _word_by_word(spec: dict) -> bool:
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        if model.get("type") != "BPE" or spec.get("normalizer") or any(pre.get(k) != v for k, v in usual.items()) or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
-            return None
-        import tiktoken
-
-        spelled, special = _byte_letters(), {t["content"] for t in spec.get("added_tokens", [])}
-        ranks, last = {}, -1
-        for merge in model["merges"]:
-            left, right = merge.split(" ") if isinstance(merge, str) else merge
-            if model["vocab"].get(left + right, -1) <= last:
-                return None
-            last = model["vocab"][left + right]
-        for piece, i in model["vocab"].items():
-            if piece not in special:
-                if not all(c in spelled for c in piece):
-                    return None
-                ranks[bytes(spelled[c] for c in piece)] = i
-        if len({k for k in ranks if len(k) == 1}) != 256:
-            return None
-        return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if self.fast is not None:
-            out = [self._plain(t) if any(a in t for a in self.added) else self.fast.encode_to_numpy(t, disallowed_special=()).astype(self.kind) for t in texts]
-            few, self.compare = texts[: self.compare], max(0, self.compare - len(texts))
-            if all(np.array_equal(a, e.ids) for a, e in zip(out, self.tok.encode_batch_fast(few, add_special_tokens=False), strict=False)):
-                return out
-            self.fast = None
-        return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+        plain = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and not model.get("dropout")
+        return plain and model.get("type") == "BPE" and all(pre.get(k) == v for k, v in usual.items())
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _behind_space(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces behind a space, one after another, and their numbers. Pieces without white space are encoded as one
+        text: each is a word of its own there, and its first id, alone among its ids, begins with a space."""
+        plain = [k for k, p in enumerate(pieces) if _WORD.fullmatch(p)]
+        words = pieces if len(plain) == len(pieces) else [pieces[k] for k in plain]
+        ids = [np.array(e.ids, self.kind) for k in range(0, len(words), 4096) for e in self.tok.encode_batch_fast([" " + " ".join(words[k : k + 4096])], add_special_tokens=False)]
+        every = np.concatenate(ids) if ids else np.zeros(0, self.kind)
+        size = np.diff(np.append(np.flatnonzero(self.opens[every]), len(every)))
+        if len(plain) == len(pieces):
+            return every, size
+        rest = sorted(set(range(len(pieces))) - set(plain))
+        raw = self._ids([" " + pieces[k] for k in rest])
+        order = np.argsort(np.array(plain + rest), kind="stable")
+        every = np.concatenate([every, np.frombuffer(b"".join(raw), self.kind)])
+        size = np.append(size, [len(x) // self.kind.itemsize for x in raw]).astype(np.int64)
+        return every[ranges((np.cumsum(size) - size)[order], size[order])], size[order]
+
+    def _joined(self, pieces: pa.ListArray) -> list[bytes]:
+        """Ids of texts from their pieces; the first of a text has no space before it."""
+        off = pieces.offsets.to_numpy().astype(np.int64)
+        flat, off = pieces.flatten(), off - off[0]
+        table = flat.dictionary_encode()
+        code = table.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        every, size = self._behind_space(table.dictionary.to_pylist())
+        heads = self._ids(flat.take(pa.array(off[:-1])).to_pylist())
+        code[off[:-1]] = len(size) + np.arange(len(heads))
+        every = np.concatenate([every, np.frombuffer(b"".join(heads), self.kind)])
+        size = np.append(size, [len(x) // self.kind.itemsize for x in heads]).astype(np.int64)
+        start, size = (np.cumsum(size) - size)[code], size[code]
+        cut = (np.concatenate([[0], np.cumsum(size)])[off] * self.kind.itemsize).tolist()
+        ids = every[ranges(start, size)].tobytes()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of a string column without nulls."""
+        if not self.by_pieces:
+            return self._ids(texts.to_pylist())
+        raw, off = buffers(texts)
+        # 0: cut at every space; 1: not every space starts a word; 2: holds an added token
+        kind = np.zeros(len(texts), np.int8)
+        space = raw == 32
+        odd = np.flatnonzero(space & _BLANK[np.append(raw[1:], 32)]) if len(raw) else np.zeros(0, np.int64)
+        last = off[1:][np.diff(off) > 0] - 1
+        kind[np.searchsorted(off, np.concatenate([odd, last[space[last]]]), "right") - 1] = 1
+        for token in self.added:
+            kind[pc.match_substring(texts, token).to_numpy(zero_copy_only=False)] = 2
+        out: list = [None] * len(texts)
+        for k in np.unique(kind).tolist():
+            rows = np.flatnonzero(kind == k)
+            part = texts.take(pa.array(rows))
+            if k == 2:
+                found = self._ids(part.to_pylist())
+            else:
+                found = self._joined(pc.split_pattern(part, " ") if k == 0 else pa.array([_CUT.split(t) for t in part.to_pylist()], pa.list_(pa.string())))
+            for row, ids in zip(rows.tolist(), found, strict=True):
+                out[row] = ids
+        return out
 
 
 def _tokenise(path: str, end_id: int):
@@ -102,8 +146,8 @@ def _tokenise(path: str, end_id: int):
         encode, end = Encoder(path, kind), np.array([end_id], kind).tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for b in slices(batch, 1):
-                rows = [x.tobytes() + end for x in encode(b.column(1).to_pylist())]
+            for b in slices(batch, 1, SLICE):
+                rows = [x + end for x in encode(b.column(1))]
                 sizes = np.array([len(x) // kind.itemsize for x in rows], np.int64)
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
