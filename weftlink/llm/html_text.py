@@ -1,9 +1,10 @@
 """Main text of web pages as the maximum-scoring contiguous run of tokens.
 
 A page is a sequence of tokens, words and tags. A word's weight says how much likelier words of its surroundings (the
-block element it stands in) are main text than not; a tag's weight is negative. Both are learned from labelled pages. A
-linear scan finds the contiguous run with the largest sum; its blocks, without those inside boilerplate elements, are
-the text. A compound name that ends in a word of boilerplate makes an element doubtful only: its words weigh less, and the
+block element it stands in, a link or not) are main text than not; a tag's weight is negative. Both are learned from
+labelled pages. Elements that are boilerplate by their element name, or by a whole class name, id or role, are cut out
+of the sequence, their tags stay in it. A linear scan finds the contiguous run with the largest sum; its blocks are the
+text. A compound name that ends in a word of boilerplate makes an element doubtful only: its words weigh less, and the
 scan decides.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from math import log
 
@@ -18,11 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Element names of the HTML standard.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr nobr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+from weftlink.llm.shared import slices
+
+# Element names of the HTML standard. Void elements other than br and hr stand inside a block like a letter.
+INLINE = frozenset(
+    "a abbr acronym area b base bdi bdo big cite code col data del dfn em embed font i img input ins kbd label link map mark meta nobr param picture q rb rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr".split()
+)
 RAW = frozenset("script style textarea title noscript template iframe svg math select option button canvas object audio video".split())
 DROPPED = frozenset("head nav footer aside form menu dialog fieldset".split()) | RAW
+# Elements whose end tag may be left out: another of the kind closes them.
+CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 # Dropped by name, but for an article or main element inside: whole pages stand in a form at times.
 LOOSE = frozenset("form dialog fieldset".split())
 # Class names, ids and roles that name boilerplate.
@@ -30,8 +37,12 @@ BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+# No part gives back what it took, and an unfinished tag ends where the next one begins, so a page is read once.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+(?:>|(?=<)|\Z)|[^<>]*+(?:>|(?=<)|\Z))""", re.S
+)
+_ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in ("script", "style", "textarea", "title")}
 
 
 @dataclass
@@ -44,10 +55,12 @@ class Block:
     in_article: bool
     tags: list[str] = field(default_factory=list)
     doubtful: bool = False
+    words: int = 0
+    linked: int = 0
 
     def key(self) -> str:
         """What the weight of the block's words is learned by."""
-        return self.inside + ("!" if self.dropped else "?" if self.doubtful else "")
+        return self.inside + "?" * self.doubtful
 
 
 def _names(attrs: str) -> tuple[str, bool, bool]:
@@ -66,36 +79,48 @@ def _names(attrs: str) -> tuple[str, bool, bool]:
 
 
 def blocks(page: str) -> tuple[list[Block], list[str]]:
-    """The page's blocks in order, and the tags after the last one. Unclosed and stray tags are tolerated."""
+    """The page's blocks in order, and the tags after the last one. Unclosed and stray tags are tolerated; the time is linear
+    in the page's length, however deep elements nest."""
     out: list[Block] = []
     # element, signature, dropped for good, dropped unless an article follows inside, doubtful, inside an article
     stack: list[tuple[str, str, bool, bool, bool, bool]] = [("", "", False, False, False, False)]
+    opened: Counter[str] = Counter()  # how many of each element are on the stack
     parts: list[str] = []
     tags: list[str] = []
+    links = linked = 0
     at, n = 0, len(page)
 
     def flush() -> None:
-        nonlocal tags
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        nonlocal tags, linked
+        words = html.unescape("".join(parts)).split() if parts else []
         parts.clear()
-        if text:
+        if words:
             _, sign, hard, soft, doubt, art = stack[-1]
-            out.append(Block(text, sign, hard or soft, art, tags, doubt and not (hard or soft)))
+            out.append(Block(" ".join(words), sign, hard or soft, art, tags, doubt and not (hard or soft), len(words), min(linked, len(words))))
             tags = []
+        linked = 0
+
+    def text(part: str) -> None:
+        nonlocal linked
+        parts.append(part)
+        if links:
+            linked += len(part.split())
 
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
-            parts.append(page[at:])
+            text(page[at:])
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            text(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in INLINE:
             tags.append(name)
+            if name == "a":
+                links = 0 if closing else 1  # a link inside a link closes it
             continue
         if name == "br":
             parts.append(" ")
@@ -103,14 +128,18 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             continue
         flush()
         tags.append(name)
+        links = 0
         if closing:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if k:
-                del stack[k:]
+            if opened[name]:
+                while True:
+                    top = stack.pop()[0]
+                    opened[top] -= 1
+                    if top == name:
+                        break
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name or stack[-1][0] == "p":
-            stack.pop()
-        if name in VOID:
+        if stack[-1][0] == "p" or name in CLOSED_BY_NEXT and stack[-1][0] == name:
+            opened[stack.pop()[0]] -= 1
+        if name == "hr":
             continue
         first, bad, mixed = _names(m[3])
         _, _, hard, soft, doubt, art = stack[-1]
@@ -122,12 +151,12 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         soft = soft or bad and name not in ("body", "html", "article", "main") or name in LOOSE or name == "header" and not art
         # a page's heading is no boilerplate, whatever a compound name around it says
         doubt = (doubt or mixed and name not in ("body", "html", "article", "main")) and not art_here and name != "h1"
+        if name in _RAW_END:
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else n
+            continue
         stack.append((name, f"{name}.{first}" if first else name, hard, soft, doubt, art_here))
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if name in ("script", "style", "textarea", "title"):
-                at = end.end() if end else n
-                stack.pop()
+        opened[name] += 1
     flush()
     return out, tags
 
@@ -139,74 +168,88 @@ class TokenWeights:
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
     word: float = 0.5
-    dropped: float = -2.0
+    linked: float = -0.4
     doubtful: float = 0.1
     tag: float = -0.3
 
     @classmethod
     def learn(cls, pages: list[str]) -> TokenWeights:
         """From pages that mark their own main text (an article or main element): words there, outside boilerplate,
-        are labelled 1, all others 0; tags likewise. Pages without the mark are left out."""
-        count: dict[tuple[str, str], list[int]] = {}
+        are labelled 1, all others 0; tags likewise. Pages without the mark are left out, and so is what is cut out anyway."""
+        count: dict[tuple[str, str], list[float]] = {}
         for page in pages:
             found, _ = blocks(page or "")
-            if not any(b.in_article for b in found):
+            if not any(b.in_article and not b.dropped for b in found):
                 continue
             for b in found:
                 good = b.in_article and not b.dropped
-                count.setdefault(("word", b.key()), [0, 0])[good] += b.text.count(" ") + 1
                 for t in b.tags:
                     count.setdefault(("tag", t), [0, 0])[good] += 1
+                if not b.dropped:
+                    count.setdefault(("word", b.key()), [0, 0])[good] += b.words - b.linked
+                    count.setdefault(("link", ""), [0, 0])[good] += b.linked
         w = cls()
         for (kind, key), (bad, good) in count.items():
             odds = log((good + 1) / (bad + 1))
             if kind == "word":
                 w.words[key] = max(-4.0, min(2.0, odds))
+            elif kind == "link":
+                w.linked = max(-2.0, min(0.2, odds))
             else:
                 w.tags[key] = max(-3.0, min(-0.05, -0.3 + 0.3 * odds))
         return w
 
     def of(self, b: Block) -> tuple[float, float]:
-        """(sum over the tags before the block, sum over its words)."""
-        one = self.words.get(b.key())
-        if one is None:
-            one = self.dropped if b.dropped else self.doubtful if b.doubtful else self.word
-        tags, text = sum(self.tags.get(t, self.tag) for t in b.tags), one * (b.text.count(" ") + 1)
-        if b.dropped:  # never part of the text: an advert in an article mustn't cost one of its halves
-            least = -0.5 if b.in_article else -20.0
-            return max(tags, least), max(text, least)
-        return tags, text
+        """(sum over the tags before the block, sum over its words; none of what is cut out)."""
+        tags = sum(self.tags.get(t, self.tag) for t in b.tags)
+        if b.dropped:
+            return tags, 0.0
+        one = self.words.get(b.key(), self.doubtful if b.doubtful else self.word)
+        return tags, one * (b.words - b.linked) + min(one, self.linked) * b.linked
 
 
-def main_blocks(page: str, w: TokenWeights) -> list[str]:
-    """Texts of the best contiguous run's blocks, without those inside boilerplate. Of equal sums the first, shortest
-    run stands; where no run is positive there is no text. Words of a block weigh alike, so runs end at blocks."""
-    found, _ = blocks(page)
-    best = (0.0, 0, 0)
+def best_run(steps: list[tuple[float, float]]) -> tuple[int, int]:
+    """The contiguous run of blocks, from the first to before the last number, with the largest sum of word weights and of
+    the tag weights between its blocks; of equal sums the one that ends first, and of those the shortest. (0, 0) where none
+    is positive."""
+    best, at = 0.0, (0, 0)
     total, start = 0.0, 0
-    for k, b in enumerate(found):
-        tags, words = w.of(b)
+    for k, (tags, words) in enumerate(steps):
         if total + tags <= 0:
             total, start = 0.0, k
         else:
             total += tags
         total += words
-        if total > best[0]:
-            best = (total, start, k + 1)
-    return [b.text for b in found[best[1] : best[2]] if not b.dropped]
+        if total > best:
+            best, at = total, (start, k + 1)
+    return at
+
+
+def main_blocks(page: str, w: TokenWeights) -> list[str]:
+    """Texts of the best contiguous run's blocks, without those cut out. Nothing inside a block is dropped, so runs begin
+    and end at blocks; where no run is positive there is no text."""
+    found, _ = blocks(page)
+    a, b = best_run([w.of(x) for x in found])
+    return [x.text for x in found[a:b] if not x.dropped]
 
 
-def learn_weights(pages: DataFrame, html_col: str = "html", sample_pages: int = 400, most_bytes: int = 1_000_000) -> TokenWeights:
-    """Weights from at most ``sample_pages`` pages, chosen by a hash of the page; pages longer than ``most_bytes``
-    characters aren't used for learning (they are extracted whole, as all pages)."""
+def learn_weights(pages: DataFrame, html_col: str = "html", sample_pages: int = 400, most_bytes: int = 40_000_000) -> TokenWeights:
+    """Weights from at most ``sample_pages`` pages, chosen by a hash of the page, of ``most_bytes`` bytes in all: the first by
+    that hash, and no page of more than a hundredth of it (they are extracted whole, as all pages). Null and empty pages,
+    repeated ones and an empty table teach nothing; without any lesson the default weights stand."""
     c = F.col(html_col)
-    keyed = pages.filter(F.length(c) <= most_bytes).select(F.xxhash64(c).alias("wl_key"), c.alias("wl_html"))
+    keyed = pages.filter(F.octet_length(c).between(1, most_bytes // 100)).select(F.xxhash64(c).alias("wl_key"), c.alias("wl_html"))
     # the keys alone are ranked; only the chosen pages travel
     last = keyed.select("wl_key").distinct().orderBy("wl_key").limit(sample_pages).agg(F.max("wl_key")).first()[0]
     if last is None:
         return TokenWeights.learn([])
-    rows = keyed.filter(F.col("wl_key") <= last).dropDuplicates(["wl_key"]).orderBy("wl_key").limit(sample_pages).collect()
-    return TokenWeights.learn([r[1] for r in rows])
+    lessons, left = [], most_bytes
+    for row in keyed.filter(F.col("wl_key") <= last).dropDuplicates(["wl_key"]).orderBy("wl_key").limit(sample_pages).toLocalIterator():
+        left -= len(row[1].encode("utf-8", "surrogatepass"))
+        if left < 0:
+            break
+        lessons.append(row[1])
+    return TokenWeights.learn(lessons)
 
 
 def main_text(pages: DataFrame, weights: TokenWeights | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -220,8 +263,7 @@ def main_text(pages: DataFrame, weights: TokenWeights | None = None, id_col: str
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
+            for b in slices(batch, 1):
                 got = [main_blocks(p or "", w) for p in b.column(1).to_pylist()]
                 texts = ["\n\n".join(x) for x in got]
                 yield pa.RecordBatch.from_arrays(
