@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns plus a small character convolutional network over every further candidate.
 
-The base patterns' findings always stand. Candidates are all runs of key-like characters; each is scored together with
-the characters around it by a convolutional network in numpy. Where a run longer than the network sees at once is none as a
-whole, its parts between / and = and overlapping stretches of it are scored as well. The network is trained on labelled findings; its logits
-are calibrated on held-out ones (Platt scaling), and the threshold is the highest that keeps the asked recall there.
+The base patterns' findings always stand. Candidates are all runs of key-like characters; each is scored whole, together
+with the characters around it, by a convolutional network in numpy whose pooling takes runs of any length. Of a long run,
+parts between / and = and overlapping stretches are scored as well; where one of them is a secret it stands for the run. The network is
+trained on labelled findings; its logits are calibrated on held-out ones (Platt scaling), and the threshold is the highest
+that keeps the asked recall there.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from dataclasses import dataclass
-from itertools import islice
+from dataclasses import dataclass, fields
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
-BEFORE, INSIDE, AFTER = 24, 48, 8
-WIDTH = BEFORE + INSIDE + AFTER
-LEAST, STEP = 16, 8  # bytes of a candidate at least; between the stretches of a long one
+BEFORE, AFTER = 24, 8  # bytes of context on either side
+LEAST, STRETCH, STEP = 16, 48, 8  # bytes of a candidate at least; of a stretch of a long one, and between stretches
 CLASSES = 48  # letters folded to 26, marks kept apart by the table below
+CHUNK = 1 << 16  # positions that are convolved at once
 
 
 def _char_table() -> np.ndarray:
@@ -46,18 +47,14 @@ def _char_table() -> np.ndarray:
 TABLE = _char_table()
 
 
-def windows(text: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
-    """A row of character classes for each byte span: what precedes it, its first bytes, what follows it."""
-    out = np.zeros((len(spans), WIDTH), np.int64)
-    raw = TABLE[np.frombuffer(text, np.uint8)]
-    for k, (a, b) in enumerate(spans):
-        x = raw[max(0, a - BEFORE) : a]
-        out[k, BEFORE - len(x) : BEFORE] = x
-        x = raw[a : min(b, a + INSIDE)]
-        out[k, BEFORE : BEFORE + len(x)] = x
-        x = raw[b : b + AFTER]
-        out[k, BEFORE + INSIDE : BEFORE + INSIDE + len(x)] = x
-    return out
+def windows(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of character classes for each span (a, b) of a text from ``begin`` to ``end``: what precedes it, all its bytes,
+    what follows it; and the rows' lengths. Beyond its length a row is padding."""
+    size = b - a
+    col = np.arange(BEFORE + int(size.max(initial=0)) + AFTER)
+    at = a[:, None] - BEFORE + col[None]
+    there = (at >= begin[:, None]) & (at < np.minimum(end, b + AFTER)[:, None])
+    return np.where(there, TABLE[raw[np.clip(at, 0, len(raw) - 1)]], 0), BEFORE + size + AFTER
 
 
 @dataclass
@@ -78,29 +75,56 @@ class CharCNN:
         r = np.random.default_rng(seed)
         e = r.normal(0, 0.3, (CLASSES, dim))
         e[0] = 0
-        return cls(e, r.normal(0, (2 / (dim * span)) ** 0.5, (span * dim, filters)), np.zeros(filters), r.normal(0, 0.1, 2 * filters), 0.0)
+        conv, out = r.normal(0, (2 / (dim * span)) ** 0.5, (span * dim, filters)), r.normal(0, 0.1, 2 * filters)
+        return cls(*[w.astype(np.float32) for w in (e, conv, np.zeros(filters), out)], 0.0)
+
+    def save(self, path: str) -> None:
+        np.savez(path, **{f.name: getattr(self, f.name) for f in fields(self)})
+
+    @classmethod
+    def load(cls, path: str) -> CharCNN:
+        with np.load(path) as z:
+            return cls(**{f.name: z[f.name] if z[f.name].ndim else float(z[f.name]) for f in fields(cls)})
+
+    @property
+    def span(self) -> int:
+        return self.conv.shape[0] // self.emb.shape[1]
 
     def _unfold(self, x: np.ndarray) -> np.ndarray:
-        span = self.conv.shape[0] // self.emb.shape[1]
         e = self.emb[x]
-        return np.concatenate([e[:, i : e.shape[1] - span + 1 + i] for i in range(span)], axis=2)
+        return np.concatenate([e[:, i : e.shape[1] - self.span + 1 + i] for i in range(self.span)], axis=2)
 
-    def _forward(self, x: np.ndarray):
+    def _forward(self, x: np.ndarray, size: np.ndarray):
+        """Positions that reach beyond a row's size have no part in its maximum and mean."""
         u = self._unfold(x)
         a = u @ self.conv + self.bias
-        r = np.maximum(a, 0)
-        best = a.argmax(1)
-        pooled = np.concatenate([np.take_along_axis(r, best[:, None, :], 1)[:, 0], r.mean(1)], axis=1)
-        return u, a, best, pooled, pooled @ self.out + self.out_bias
-
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[i : i + 256])[-1] for i in range(0, len(x), 256)]) if len(x) else np.zeros(0)
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
+        count = size - self.span + 1
+        inside = np.arange(a.shape[1])[None, :, None] < count[:, None, None]
+        best = np.where(inside, a, -np.inf).argmax(1)
+        r = np.maximum(a, 0) * inside
+        pooled = np.concatenate([np.take_along_axis(r, best[:, None, :], 1)[:, 0], r.sum(1) / count[:, None].astype(r.dtype)], axis=1)
+        return u, a, inside, count, best, pooled, pooled @ self.out + self.out_bias
+
+    def _long(self, x: np.ndarray) -> float:
+        """The logit of one row, read in pieces."""
+        n, f = len(x) - self.span + 1, len(self.bias)
+        most, total = np.zeros(f), np.zeros(f)
+        for lo in range(0, n, CHUNK):
+            a = np.maximum(self._unfold(x[None, lo : lo + CHUNK + self.span - 1])[0] @ self.conv + self.bias, 0)
+            most, total = np.maximum(most, a.max(0)), total + a.sum(0)
+        return float(np.concatenate([most, total / n]) @ self.out + self.out_bias)
+
+    def logits(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if x.shape[1] > CHUNK:
+            return np.array([self._long(r[:n]) for r, n in zip(x, size.tolist(), strict=True)])
+        step = max(1, CHUNK // max(1, x.shape[1]))
+        return np.concatenate([self._forward(x[i : i + step], size[i : i + step])[-1] for i in range(0, len(x), step)]) if len(x) else np.zeros(0)
+
+    def scores(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Calibrated probability that a candidate is a secret."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x, size) + self.shift, -40, 40)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, seed: int, rate: float = 0.01) -> None:
+    def fit(self, x: np.ndarray, size: np.ndarray, y: np.ndarray, epochs: int, seed: int, rate: float = 0.01) -> None:
         """Adam on the balanced logistic loss."""
         r = np.random.default_rng(seed)
         w = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
@@ -108,32 +132,35 @@ class CharCNN:
         m = {n: 0.0 for n in names}
         v = {n: 0.0 for n in names}
         step, dim, f = 0, self.emb.shape[1], self.conv.shape[1]
-        span = self.conv.shape[0] // dim
         for _ in range(epochs):
             order = r.permutation(len(y))
             for lo in range(0, len(y), 128):
                 i = order[lo : lo + 128]
-                u, a, best, pooled, z = self._forward(x[i])
-                d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[i]) * w[i] / len(i)
+                xi = x[i, : size[i].max()]
+                u, a, inside, count, best, pooled, z = self._forward(xi, size[i])
+                d = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[i]) * w[i] / len(i)).astype(np.float32)
                 dp = d[:, None] * self.out
-                da = np.repeat(dp[:, None, f:] / a.shape[1], a.shape[1], 1)
-                k = np.arange(len(i))[:, None]
-                da[k, best, np.arange(f)] += dp[:, :f]
+                da = (dp[:, None, f:] / count[:, None, None].astype(np.float32)) * inside
+                da[np.arange(len(i))[:, None], best, np.arange(f)] += dp[:, :f]
                 da *= a > 0
-                du = da @ self.conv.T
-                g = {"out": pooled.T @ d, "out_bias": d.sum(), "conv": np.einsum("npu,npf->uf", u, da, optimize=True), "bias": da.sum((0, 1)), "emb": np.zeros_like(self.emb)}
-                for s in range(span):
-                    np.add.at(g["emb"], x[i][:, s : s + a.shape[1]], du[:, :, s * dim : (s + 1) * dim])
+                flat = da.reshape(-1, f)
+                du = (flat @ self.conv.T).reshape(*a.shape[:2], -1)
+                g = {"out": pooled.T @ d, "out_bias": d.sum(), "conv": u.reshape(-1, u.shape[2]).T @ flat, "bias": flat.sum(0), "emb": np.zeros(self.emb.shape)}
+                for s in range(self.span):
+                    at = xi[:, s : s + a.shape[1]].ravel()
+                    for k in range(dim):
+                        g["emb"][:, k] += np.bincount(at, du[:, :, s * dim + k].ravel(), CLASSES)
                 g["emb"][0] = 0
                 step += 1
                 for n in names:
                     m[n] = 0.9 * m[n] + 0.1 * g[n]
                     v[n] = 0.999 * v[n] + 0.001 * g[n] ** 2
-                    setattr(self, n, getattr(self, n) - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8))
+                    change = rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8)
+                    setattr(self, n, getattr(self, n) - (change.astype(np.float32) if np.ndim(change) else float(change)))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+    def calibrate(self, x: np.ndarray, size: np.ndarray, y: np.ndarray, recall: float) -> None:
         """Platt scaling on held-out findings, then the highest threshold with the asked recall."""
-        z = self.logits(x)
+        z = self.logits(x, size)
         a, b = 1.0, 0.0
         hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
         t = np.where(y > 0, hi, lo)
@@ -145,7 +172,7 @@ class CharCNN:
             d = np.linalg.solve(h, g)
             a, b = a - np.clip(d[0], -1, 1), b - np.clip(d[1], -2, 2)
         self.slope, self.shift = float(a), float(b)
-        good = np.sort(self.scores(x)[y > 0])
+        good = np.sort(self.scores(x, size)[y > 0])
         self.threshold = float(good[int(np.floor((1 - recall) * len(good)))]) if len(good) else 1.0
 
 
@@ -162,7 +189,28 @@ def _syllable(r: np.random.Generator) -> str:
     return _key(r, consonants, int(r.integers(0, 3))) + _key(r, vowels, int(r.integers(1, 3))) + _key(r, consonants, int(r.integers(0, 2)))
 
 
-def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+FORMATS = ("ghp", "sk", "jwt", "base64", "HEX", "xoxb", "AIza", "mixed", "glpat", "npm", "sk_live")
+
+
+def _secret(r: np.random.Generator, kind: str) -> str:
+    """A made key of a public format."""
+    mixed = LOWER + UPPER + DIGITS
+    return {
+        "ghp": lambda: "ghp_" + _key(r, mixed, 36),
+        "sk": lambda: "sk-" + _key(r, mixed, 40),
+        "jwt": lambda: "eyJ" + _key(r, mixed + "_-", int(r.integers(40, 80))),
+        "base64": lambda: _key(r, mixed + "+/", 40),
+        "HEX": lambda: _key(r, "0123456789ABCDEF", 40),
+        "xoxb": lambda: "xoxb-" + _key(r, DIGITS, 12) + "-" + _key(r, mixed, 24),
+        "AIza": lambda: "AIza" + _key(r, mixed + "_-", 35),
+        "mixed": lambda: _key(r, mixed, int(r.integers(24, 44))),
+        "glpat": lambda: "glpat-" + _key(r, mixed + "_-", 20),
+        "npm": lambda: "npm_" + _key(r, mixed, 36),
+        "sk_live": lambda: "sk_live_" + _key(r, mixed, 24),
+    }[kind]()
+
+
+def labelled_findings(n: int, seed: int, formats: tuple[str, ...] = FORMATS) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """``n`` labelled candidates in context, half of them secrets, from a rule: key formats of public services against
     long words, paths, identifiers, separators and numbers that only look like keys."""
     r = np.random.default_rng(seed)
@@ -170,39 +218,31 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
     words += ["".join(_syllable(r) for _ in range(r.integers(1, 5))) for _ in range(1200)]
     long_word = lambda: "".join(_syllable(r) for _ in range(int(r.integers(6, 16)))).ljust(16, "a")[: int(r.integers(16, 40))]
     word = lambda: words[r.integers(0, len(words))]
-    mixed = LOWER + UPPER + DIGITS
     figures = lambda: "".join(_key(r, DIGITS, int(r.integers(1, 5))) + ".-/ ) ("[r.integers(0, 7)] for _ in range(r.integers(1, 5))).rstrip()
+    several = lambda mark: mark.join(word() for _ in range(int(r.integers(4, 14)))).ljust(16, "x")
+    harmless = [
+        lambda: "".join(word() for _ in range(6))[: int(r.integers(16, 40))].ljust(16, "a"),
+        lambda: ("".join(word() for _ in range(6))[: int(r.integers(16, 30))]).ljust(16, "e").capitalize(),
+        lambda: "".join(word() for _ in range(6)).upper()[: int(r.integers(16, 30))].ljust(16, "A"),
+        lambda: several("/"),
+        lambda: several("_"),
+        lambda: several("-"),
+        lambda: _key(r, DIGITS, int(r.integers(16, 24))),
+        lambda: _key(r, DIGITS, 16),
+        long_word,
+        long_word,
+        lambda: long_word().capitalize(),
+        lambda: long_word().upper(),
+        lambda: "=-_"[r.integers(0, 3)] * int(r.integers(16, 60)),
+    ]
     rows, y = [], []
     for k in range(n):
         secret = k % 2 == 0
         if secret:
-            v = [
-                lambda: "ghp_" + _key(r, mixed, 36),
-                lambda: "sk-" + _key(r, mixed, 40),
-                lambda: "eyJ" + _key(r, mixed + "_-", 60),
-                lambda: _key(r, mixed + "+/", 40),
-                lambda: _key(r, "0123456789ABCDEF", 40),
-                lambda: "xoxb-" + _key(r, DIGITS, 12) + "-" + _key(r, mixed, 24),
-                lambda: "AIza" + _key(r, mixed + "_-", 35),
-                lambda: _key(r, mixed, int(r.integers(24, 44))),
-            ][r.integers(0, 8)]()
+            v = _secret(r, formats[r.integers(0, len(formats))])
             lead = ["", "key = ", "auth: ", 'client_key="', "export KEY=", "Bearer ", word() + " "][r.integers(0, 7)]
         else:
-            v = [
-                lambda: "".join(word() for _ in range(6))[: int(r.integers(16, 40))].ljust(16, "a"),
-                lambda: ("".join(word() for _ in range(6))[: int(r.integers(16, 30))]).ljust(16, "e").capitalize(),
-                lambda: "".join(word() for _ in range(6)).upper()[: int(r.integers(16, 30))].ljust(16, "A"),
-                lambda: "/".join(word() for _ in range(5)).ljust(16, "x"),
-                lambda: "_".join(word() for _ in range(5)).ljust(16, "x"),
-                lambda: "-".join(word() for _ in range(5)).ljust(16, "x"),
-                lambda: _key(r, DIGITS, int(r.integers(16, 24))),
-                lambda: _key(r, DIGITS, 16),
-                long_word,
-                long_word,
-                lambda: long_word().capitalize(),
-                lambda: long_word().upper(),
-                lambda: "=-_"[r.integers(0, 3)] * int(r.integers(16, 60)),
-            ][r.integers(0, 13)]()
+            v = harmless[r.integers(0, len(harmless))]()
             lead = ["", word() + " ", word() + ", ", "see ", word() + ": ", "url=/", word() + " = "][r.integers(0, 7)]
         near = lambda: figures() if r.random() < 0.3 else word()
         before = " ".join(near() for _ in range(3)) + " " + lead
@@ -212,14 +252,21 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
     return rows, np.array(y)
 
 
-def train(n: int = 6000, epochs: int = 8, recall: float = 0.99, seed: int = 11) -> CharCNN:
-    """A network trained on ``n`` labelled findings and calibrated on half as many others."""
-    rows, y = labelled_findings(n, seed)
-    x = np.concatenate([windows(t.encode(), [(a, b)]) for t, a, b in rows])
+def rows_of_findings(rows: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of labelled findings, each a text of its own (ASCII) and a span."""
+    off = np.cumsum([0, *[len(t) for t, _, _ in rows]])
+    a, b = (np.array([r[k] for r in rows], np.int64) + off[:-1] for k in (1, 2))
+    return windows(np.frombuffer("".join(t for t, _, _ in rows).encode(), np.uint8), off[:-1], off[1:], a, b)
+
+
+@lru_cache(maxsize=8)
+def train(n: int = 6000, epochs: int = 8, recall: float = 0.99, seed: int = 11, formats: tuple[str, ...] = FORMATS) -> CharCNN:
+    """A network trained on ``n`` labelled findings and calibrated on half as many others; once per process."""
+    rows, y = labelled_findings(n, seed, formats)
     net = CharCNN.fresh(seed)
-    net.fit(x, y, epochs, seed)
-    rows, y = labelled_findings(n // 2, seed + 1)
-    net.calibrate(np.concatenate([windows(t.encode(), [(a, b)]) for t, a, b in rows]), y, recall)
+    net.fit(*rows_of_findings(rows), y, epochs, seed)
+    rows, y = labelled_findings(n // 2, seed + 1, formats)
+    net.calibrate(*rows_of_findings(rows), y, recall)
     return net
 
 
@@ -267,37 +314,44 @@ def find_in(texts: list[str], raw: np.ndarray, off: np.ndarray, net: CharCNN | N
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if net is None:
         return base, added
+    heads = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where code points begin
+    first = np.searchsorted(heads, off)  # the number of each text's first one
     # base findings are blanked out, so what is left of a run beside one is a candidate of its own
     raw = raw.copy()
     for k, found in enumerate(base):
-        if found:
-            flat = len(texts[k]) == off[k + 1] - off[k]
-            for x, y, _ in found:
-                x, y = (x, y) if flat else (len(texts[k][:x].encode()), len(texts[k][:y].encode()))
-                raw[off[k] + x : off[k] + y] = 32
+        for x, y, _ in found:
+            raw[heads[first[k] + x] : heads[first[k] + y]] = 32
     s, e = _runs(KEYISH[raw], off, LEAST)
-    at = np.searchsorted(off, s, "right") - 1
-    # (start, end, text) of what scored
-    good = [(int(a), int(b), int(d)) for a, b, d in _scored(zip(s, e, at, strict=True), raw, off, net)]
-    whole = {a for a, _, _ in good}
-    long = [(int(a), int(b), int(d)) for a, b, d in zip(s, e, at, strict=True) if b - a > INSIDE and int(a) not in whole]
+    good, long = _scored(s, e, raw, off, net), e - s > STRETCH
+    begins, ends = s[long], e[long]
+    pieces = np.array([p for a, b in zip(begins.tolist(), ends.tolist(), strict=True) for p in _pieces(raw, a, b)], np.int64).reshape(-1, 2)
     hits: dict[int, list[tuple[int, int]]] = {}
-    begins = np.array([a for a, _, _ in long], np.int64)
-    for a, b, _ in _scored(((x, y, d) for a, b, d in long for x, y in _pieces(raw, a, b)), raw, off, net):
+    for a, b in pieces[_scored(pieces[:, 0], pieces[:, 1], raw, off, net)].tolist():
         hits.setdefault(int(np.searchsorted(begins, a, "right")) - 1, []).append((a, b))
-    good += [(x, y, long[k][2]) for k, found in hits.items() for x, y in _enclosed(raw, *long[k][:2], found)]
-    for a, b, d in sorted(good):
-        begin = len(raw[off[d] : a].tobytes().decode("utf-8", "replace"))
-        added[d].append((begin, begin + b - a, 3))
+    spans = [p for k, found in hits.items() for p in _enclosed(raw, int(begins[k]), int(ends[k]), found)]
+    good[np.flatnonzero(long)[list(hits)]] = False  # the parts tell more exactly where it is
+    spans += zip(s[good].tolist(), e[good].tolist(), strict=True)
+    for a, b in sorted(spans):
+        k = int(np.searchsorted(off, a, "right")) - 1
+        start = int(np.searchsorted(heads, a) - first[k])
+        added[k].append((start, start + b - a, 3))
     return base, added
 
 
-def _scored(spans, raw: np.ndarray, off: np.ndarray, net: CharCNN):
-    """Those of the (start, end, text) that the network takes for secrets."""
-    spans = iter(spans)
-    while part := list(islice(spans, 4096)):
-        x = np.concatenate([windows(raw[max(off[d], a - 64) : min(off[d + 1], b + 16)].tobytes(), [(min(64, a - off[d]), min(64, a - off[d]) + b - a)]) for a, b, d in part])
-        yield from (p for p, z in zip(part, net.scores(x) >= net.threshold, strict=True) if z)
+def _scored(a: np.ndarray, b: np.ndarray, raw: np.ndarray, off: np.ndarray, net: CharCNN) -> np.ndarray:
+    """Which of the spans the network takes for secrets; spans of about equal lengths are scored together."""
+    out = np.zeros(len(a), bool)
+    text = np.searchsorted(off, a, "right") - 1
+    order = np.argsort(b - a, kind="stable")
+    size = (b - a)[order]
+    lo = 0
+    while lo < len(order):
+        hi = min(len(order), lo + max(1, (1 << 20) // int(size[lo] + BEFORE + AFTER)))
+        hi = lo + max(1, int(np.searchsorted(size[lo:hi], size[lo] * 3 // 2 + 8, "right")))
+        part = order[lo:hi]
+        out[part] = net.scores(*windows(raw, off[text[part]], off[text[part] + 1], a[part], b[part])) >= net.threshold
+        lo = hi
+    return out
 
 
 def _cuts(raw: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -306,12 +360,12 @@ def _cuts(raw: np.ndarray, a: int, b: int) -> np.ndarray:
 
 
 def _pieces(raw: np.ndarray, a: int, b: int):
-    """Parts of a long run between / and =, and overlapping stretches of what the network sees at once; steps are so short
-    that a key of 40 characters stands whole in one of them."""
+    """Parts of a long run between / and =, and overlapping stretches; steps are so short that a key of 40 characters stands
+    whole in one of them."""
     cuts = _cuts(raw, a, b)
     yield from ((x + 1, y) for x, y in zip(cuts.tolist(), cuts[1:].tolist()) if LEAST <= y - x - 1 < b - a)
-    yield from ((x, x + INSIDE) for x in range(a + STEP, b - INSIDE, STEP))
-    yield b - INSIDE, b
+    yield from ((x, x + STRETCH) for x in range(a, b - STRETCH, STEP))
+    yield b - STRETCH, b
 
 
 def _enclosed(raw: np.ndarray, a: int, b: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
