@@ -53,6 +53,16 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), least)
 
 
+def dealt(spark: SparkSession, n: int) -> np.ndarray:
+    """``n`` integers that hash partitioning to ``n`` partitions deals one to each: bucket names that leave no task with
+    several buckets while others have none. At most a few thousand; a rule, not data."""
+    tried = spark.range(0, n * (int(np.log(n + 1)) + 12), 1, 1).select(F.col("id").cast("int").alias("v"))
+    rows = tried.groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).orderBy("p").collect()
+    spare = iter(range(-1, -n - 1, -1))  # a partition that no number tried falls into goes without a bucket of its own
+    found = {r.p: r.v for r in rows}
+    return np.array([found[k] if k in found else next(spare) for k in range(n)], np.int32)
+
+
 def text_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) under internal names, null text as empty; other columns are left behind."""
     return docs.select(F.col(id_col).alias("wl_id"), F.coalesce(F.col(text_col), F.lit("")).alias("wl_text"))

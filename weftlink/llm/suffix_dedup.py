@@ -3,8 +3,8 @@
 Equal 100-byte windows pick the same anchor, the window's least gram by a hash, so every window is a part of the context
 of exactly one anchor: the bytes of all windows that pick it. Contexts of equal anchors meet in one task. Equal contexts
 are one context with an earliest place; where an anchor has several different contexts, their suffix array is built, and
-neighbours that share at least a window's length are one class. In a class everything but the earliest start is
-repeated.
+neighbours that share at least a window's length, byte by byte, are one class. In a class everything but the earliest
+start is repeated.
 
 Texts move twice, to meet the requests for context bytes and the spans to remove; never as pairs of documents.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.lyndon import suffix_order
-from weftlink.llm.shared import buffers, lean, mix, odd_constants, partitions, ranges, slices, stored, text_of
+from weftlink.llm.shared import buffers, dealt, lean, mix, odd_constants, partitions, ranges, slices, stored, text_of
 
 RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("tag", "<u4")])
 REQUEST = np.dtype([("doc", "<i8"), ("key", "<u8"), ("lo", "<u4"), ("hi", "<u4"), ("tag", "<u4")])
@@ -33,15 +33,17 @@ _GRAM = 24
 _TABLE = odd_constants(256, 101)
 _STEP = odd_constants(8, 202)
 _LAST = (1 << 63) - 1
+BUCKET_BYTES, MOST_TASKS = 12 << 20, 8192  # text of a bucket; tasks that buckets are dealt to, each holding one at a time
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Columns one after another, so that they compress; level 1."""
-    return zstandard.compress(b"".join([np.int64(len(a)).tobytes(), *[np.ascontiguousarray(a[n]).tobytes() for n in a.dtype.names]]), 1)
+    """Columns one after another, so that they compress; level 1, few rows as they are."""
+    raw = b"".join([np.int64(len(a)).tobytes(), *[np.ascontiguousarray(a[n]).tobytes() for n in a.dtype.names]])
+    return b"z" + zstandard.compress(raw, 1) if len(raw) > 1024 else b"-" + raw
 
 
 def _unpack(raw: bytes, kind: np.dtype) -> np.ndarray:
-    data = zstandard.decompress(raw)
+    data = zstandard.decompress(raw[1:]) if raw[:1] == b"z" else raw[1:]
     n, at = int(np.frombuffer(data, np.int64, 1)[0]), 8
     out = np.empty(n, kind)
     for name in kind.names:
@@ -126,26 +128,38 @@ def _grams_of(raw: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-def _window_hashes(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """A hash of the ``length`` bytes from each start on."""
-    out = np.empty(len(starts), np.uint64)
-    width = -(-length // 8) * 8
-    pad = np.concatenate([raw, np.zeros(width, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(pad, width)
-    k = odd_constants(width // 8, 404)
-    with np.errstate(over="ignore"):
-        for a in range(0, len(starts), 16384):
-            m = view[starts[a : a + 16384]].copy()
-            m[:, length:] = 0
-            words = m.view(np.uint64)
-            c = np.zeros(len(m), np.uint64)
-            for i in range(width // 8):
-                c = (c ^ words[:, i]) * k[i]
-                c ^= c >> np.uint64(31)
-            out[a : a + 16384] = mix(c)
+def _window_hashes(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the ``length`` bytes from each start on."""
+    out = np.empty((2, len(starts)), np.uint64)
+    for a, words in _windows(raw, starts, length):
+        with np.errstate(over="ignore"):
+            for seed, h in zip((404, 505), out, strict=True):
+                c = np.zeros(len(words), np.uint64)
+                for i, k in enumerate(odd_constants(words.shape[1], seed)):
+                    c = (c ^ words[:, i]) * k
+                    c ^= c >> np.uint64(31)
+                h[a : a + len(words)] = mix(c)
+    return out[0], out[1]
+
+
+def _same_windows(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes from each start on are those from the next start on."""
+    out = np.zeros(max(len(starts) - 1, 0), bool)
+    for a, words in _windows(raw, starts, length, 1):
+        out[a : a + len(words) - 1] = (words[1:] == words[:-1]).all(1)
     return out
 
 
+def _windows(raw: np.ndarray, starts: np.ndarray, length: int, more: int = 0, step: int = 16384):
+    """(first, 64-bit words of the windows) of blocks of starts, each with ``more`` of the next block."""
+    width = -(-length // 8) * 8
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(width, np.uint8)]), width)
+    for a in range(0, len(starts), step):
+        m = view[starts[a : a + step + more]].copy()
+        m[:, length:] = 0
+        yield a, m.view(np.uint64)
+
+
 def _batches(batch: pa.RecordBatch, most: int = 1 << 20):
     """(ids with null as the last, null flags, tags, bytes, offsets) of slices of a batch. A text longer than a slice
     stands alone; 32-bit positions hold for any string that Spark can."""
@@ -168,20 +182,23 @@ def _pieces(raw: np.ndarray, off: np.ndarray, length: int, most: int = 6 << 20):
 
 
 def _hot(length: int):
-    """Frequent anchors among the sampled texts: (anchor, number of different contexts in this task)."""
+    """Frequent anchors among the sampled texts: (anchor, number of different contexts in this task); 0: of all, and bytes."""
 
     def run(batches):
-        seen = []
+        seen, size = [], 0
         for batch in batches:
             for _, _, _, raw, off in _batches(batch):
+                size += len(raw)
                 for part, po, _ in _pieces(raw, off, length):
                     _, _, _, key, ctx = anchors(part, po, length)
                     seen.append(np.unique(np.stack([key, ctx], 1), axis=0))
         both = np.unique(np.concatenate(seen), axis=0) if seen else np.zeros((0, 2), np.uint64)
         key, n = np.unique(both[:, 0], return_counts=True)
         keep = n >= 4
-        key, n = np.append(key[keep], np.uint64(0)), np.append(n[keep], len(both))  # 0: the number of all
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
+        key, n = np.append(key[keep], np.uint64(0)), np.append(n[keep], len(both))
+        sizes = np.zeros(len(key), np.int64)
+        sizes[-1] = size
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(sizes)], names=["k", "n", "size"])
 
     return run
 
@@ -199,14 +216,32 @@ def _bucket_rows(bucket: np.ndarray, a: np.ndarray, kind: int):
         )
 
 
-def _bucket_of(x: np.ndarray, n: int) -> np.ndarray:
+def _bucket_of(x: np.ndarray, names: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((mix(x.astype(np.uint64)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+        return names[((mix(x.astype(np.uint64)) >> np.uint64(33)) % np.uint64(len(names))).astype(np.int64)].astype(np.int64)
 
 
-def _doc_bucket(doc: np.ndarray, tag: np.ndarray, n: int) -> np.ndarray:
+def _doc_bucket(doc: np.ndarray, tag: np.ndarray, names: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _bucket_of(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tag.astype(np.uint64), n)
+        return _bucket_of(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tag.astype(np.uint64), names)
+
+
+def _in_buckets(batches):
+    """(bucket, rows of it) of batches sorted by bucket, one bucket at a time."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = b.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for lo, hi in zip(edges, edges[1:]):
+            if held and at[lo] != last:
+                yield last, held
+                held = []
+            last = at[lo]
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield last, held
 
 
 def _to_spans(r: np.ndarray, length: int) -> np.ndarray:
@@ -230,20 +265,20 @@ def _merged(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _emit(length: int, hot: np.ndarray, n_keys: int, n_docs: int, flush: int = 400_000):
+def _emit(length: int, hot: np.ndarray, keys: np.ndarray, docs: np.ndarray, flush: int = 400_000):
     """Texts -> records for the anchors' buckets and, for what repeats inside this task, spans."""
 
     def settle(held):
         r = np.concatenate(held)
         r = r[np.lexsort((r["lo"], r["doc"], r["ctx"], r["key"]))]
         first = np.concatenate([[True], (r["key"][1:] != r["key"][:-1]) | (r["ctx"][1:] != r["ctx"][:-1])])
-        yield from _bucket_rows(_bucket_of(r["key"][first], n_keys), r[first], RECORDS)
+        yield from _bucket_rows(_bucket_of(r["key"][first], keys), r[first], RECORDS)
         again = ~first
         if again.any():  # rows that repeat an id are equally early: not repeats of one another
             begin = np.flatnonzero(first)[np.cumsum(first) - 1]
             again &= (r["doc"] != r["doc"][begin]) | (r["lo"] != r["lo"][begin])
             s = _merged(_to_spans(r[again], length))
-            yield from _bucket_rows(_doc_bucket(s["doc"], s["tag"], n_docs), s, SPANS)
+            yield from _bucket_rows(_doc_bucket(s["doc"], s["tag"], docs), s, SPANS)
 
     def run(batches):
         held, n = [], 0
@@ -255,11 +290,11 @@ def _emit(length: int, hot: np.ndarray, n_keys: int, n_docs: int, flush: int = 4
                     if is_hot.any():  # each window of a frequent anchor is a context of its own, spread by its hash
                         w = hi[is_hot] - lo[is_hot] + 1
                         starts = ranges(lo[is_hot], w)
-                        h = _window_hashes(part, starts, length)
+                        h, other = _window_hashes(part, starts, length)
                         cold = ~is_hot
                         text = np.concatenate([text[cold], np.repeat(text[is_hot], w)])
                         lo, hi = np.concatenate([lo[cold], starts]), np.concatenate([hi[cold], starts])
-                        key, ctx = np.concatenate([key[cold], h]), np.concatenate([ctx[cold], ~h])
+                        key, ctx = np.concatenate([key[cold], h]), np.concatenate([ctx[cold], other])
                     r = np.empty(len(key), RECORD)
                     r["key"], r["ctx"], r["doc"], r["tag"] = key, ctx, doc[text], tag[text]
                     r["lo"], r["hi"] = lo - po[text] + shift, hi - po[text] + shift
@@ -274,22 +309,23 @@ def _emit(length: int, hot: np.ndarray, n_keys: int, n_docs: int, flush: int = 4
     return run
 
 
-def _settle_keys(length: int, n_docs: int):
-    """A bucket's records -> spans of equal contexts, and requests for the bytes of anchors with several contexts."""
+def _settle_keys(length: int, docs: np.ndarray):
+    """Records by bucket -> spans of equal contexts, and requests for the bytes of anchors with several contexts."""
 
     def run(batches):
-        held = []
-        for b in batches:
-            kinds = b.column(1).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(kinds == RECORDS).tolist():
-                held.append(_unpack(b.column(2)[i].as_py(), RECORD))
-            rest = b.filter(pa.array(kinds != RECORDS))
-            if rest.num_rows:
-                yield rest
-        if not held:
-            return
-        r = np.concatenate(held)
-        del held
+        for _, part in _in_buckets(batches):
+            held = []
+            for b in part:
+                kinds = b.column(1).to_numpy(zero_copy_only=False)
+                for i in np.flatnonzero(kinds == RECORDS).tolist():
+                    held.append(_unpack(b.column(2)[i].as_py(), RECORD))
+                rest = b.filter(pa.array(kinds != RECORDS))
+                if rest.num_rows:
+                    yield rest
+            if held:
+                yield from settle(np.concatenate(held))
+
+    def settle(r):
         r = r[np.argsort(r["key"], kind="stable")]
         same = r["key"][1:] == r["key"][:-1]
         twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
@@ -302,25 +338,25 @@ def _settle_keys(length: int, n_docs: int):
         begin = np.flatnonzero(first)[np.cumsum(first) - 1]
         again = ~first & ((r["doc"] != r["doc"][begin]) | (r["lo"] != r["lo"][begin]))
         s = _merged(_to_spans(r[again], length))
-        yield from _bucket_rows(_doc_bucket(s["doc"], s["tag"], n_docs), s, SPANS)
+        yield from _bucket_rows(_doc_bucket(s["doc"], s["tag"], docs), s, SPANS)
         number = np.cumsum(new_key) - 1
         contexts = np.bincount(number[first])
         ask = r[first & (contexts[number] > 1)]
         q = np.empty(len(ask), REQUEST)
         for name in REQUEST.names:
             q[name] = ask[name]
-        yield from _bucket_rows(_doc_bucket(q["doc"], q["tag"], n_docs), q, REQUESTS)
+        yield from _bucket_rows(_doc_bucket(q["doc"], q["tag"], docs), q, REQUESTS)
 
     return run
 
 
-def _text_rows(n_docs: int):
+def _text_rows(docs: np.ndarray):
     """Texts as packed rows for their buckets: ids, tags, sizes and bytes."""
 
     def run(batches):
         for batch in batches:
             for doc, null, tag, raw, off in _batches(batch):
-                bucket = _doc_bucket(doc, tag, n_docs)
+                bucket = _doc_bucket(doc, tag, docs)
                 size = np.diff(off)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -378,7 +414,7 @@ def _by_bucket(batches, kind: np.dtype, notes: int):
             yield _read_texts(blob.as_py()), ready
 
 
-def _contexts(length: int, n_keys: int):
+def _contexts(length: int, keys: np.ndarray):
     """Requests and texts of buckets -> the requested contexts, packed for the anchors' buckets."""
 
     def run(batches):
@@ -387,7 +423,7 @@ def _contexts(length: int, n_keys: int):
             if not len(text):
                 continue
             size = q["hi"].astype(np.int64) - q["lo"] + length
-            bucket = _bucket_of(q["key"], n_keys)
+            bucket = _bucket_of(q["key"], keys)
             order = np.argsort(bucket, kind="stable")
             rows, names = [], []
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
@@ -431,8 +467,7 @@ def repeated_starts(q: np.ndarray, body: np.ndarray, size: np.ndarray, length: i
         if len(sa) < 2:
             continue
         raw = np.where(t > 0, t - 1, 0).astype(np.uint8)
-        h = _window_hashes(raw, sa, length)
-        same = (h[1:] == h[:-1]) & (text[sa[1:]] == text[sa[:-1]])
+        same = _same_windows(raw, sa, length) & (text[sa[1:]] == text[sa[:-1]])
         if not same.any():
             continue
         owner = np.zeros(len(t), np.int64)
@@ -452,13 +487,13 @@ def repeated_starts(q: np.ndarray, body: np.ndarray, size: np.ndarray, length: i
     return np.concatenate(out) if out else np.zeros(0, SPAN)
 
 
-def _suffix_spans(length: int, n_docs: int):
-    """A bucket's contexts -> spans for the documents' buckets."""
+def _suffix_spans(length: int, docs: np.ndarray):
+    """Contexts by bucket -> spans for the documents' buckets."""
 
     def run(batches):
-        qs, bodies, sizes = [], [], []
-        for b in batches:
-            for blob in b.column(1).to_pylist():
+        for _, part in _in_buckets(batches):
+            qs, bodies, sizes = [], [], []
+            for blob in (x for b in part for x in b.column(1).to_pylist()):
                 data = zstandard.decompress(blob)
                 n, at = int(np.frombuffer(data, np.int64, 1)[0]), 8
                 q = np.empty(n, REQUEST)
@@ -468,21 +503,11 @@ def _suffix_spans(length: int, n_docs: int):
                 qs.append(q)
                 sizes.append(q["hi"].astype(np.int64) - q["lo"] + length)
                 bodies.append(np.frombuffer(data, np.uint8, int(sizes[-1].sum()), at))
-        if not qs:
-            return
-        q, size, body = np.concatenate(qs), np.concatenate(sizes), np.concatenate(bodies)
-        del qs, sizes, bodies
-        begin = np.cumsum(size) - size
-        order = np.argsort(q["key"], kind="stable")
-        for a in range(0, len(order), 400_000):  # whole anchors at a time, so that memory is bounded
-            b = min(len(order), a + 400_000)
-            keys = q["key"][order]
-            a = int(np.searchsorted(keys, keys[a], "left")) if a else 0
-            b = len(order) if b >= len(order) else int(np.searchsorted(keys, keys[b], "left"))
-            part = order[a:b]
-            if len(part):
-                s = repeated_starts(q[part], body[ranges(begin[part], size[part])], size[part], length)
-                yield from _bucket_rows(_doc_bucket(s["doc"], s["tag"], n_docs), s, SPANS)
+            q, size, body = np.concatenate(qs), np.concatenate(sizes), np.concatenate(bodies)
+            begin = np.cumsum(size) - size
+            order = np.argsort(q["key"], kind="stable")
+            s = repeated_starts(q[order], body[ranges(begin[order], size[order])], size[order], length)
+            yield from _bucket_rows(_doc_bucket(s["doc"], s["tag"], docs), s, SPANS)
 
     return run
 
@@ -531,26 +556,32 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot_least: int = HOT_LEAST,
 
     Frequent anchors - those with at least ``hot_least`` contexts and one ``HOT_SHARES``-th of all - are found on a
     sixteenth of the texts; their windows are spread by hashes of their own and merged in every task first. That evens
-    out the tasks and has no part in the result.
+    out the tasks and has no part in the result. Windows and contexts are told apart by two independent 64-bit hashes
+    before the suffix arrays, and byte by byte in them. The number of buckets follows the bytes of text.
     """
     if length < 9:
         raise ValueError("length must be at least 9")
     spark = docs.sparkSession
-    n = partitions(spark)
     d = text_of(docs, id_col, text_col).withColumn("wl_id", F.col("wl_id").cast("long"))
     sixteenth = d.filter(F.pmod(F.xxhash64("wl_id", F.length("wl_text")), F.lit(16)) == 0)
-    counts = sixteenth.mapInArrow(lean(_hot(length)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    total = counts.filter("k = 0").agg(F.sum("n")).first()[0] or 0
-    least = max(hot_least / 16, total / HOT_SHARES)
+    counts = stored(sixteenth.mapInArrow(lean(_hot(length)), "k long, n long, size long"), "anchors").groupBy("k").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    total, size = counts.filter("k = 0").agg(F.sum("n"), F.sum("size")).first()
+    least = max(hot_least / 16, (total or 0) / HOT_SHARES)
     hot = np.sort(np.array([r[0] for r in counts.filter((F.col("k") != 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "k").limit(HOT_SHARES).collect()], np.int64).view(np.uint64))
+    buckets = max(partitions(spark), -(-16 * (size or 0) // BUCKET_BYTES))
+    n = min(buckets, max(MOST_TASKS, partitions(spark)))
+    names = dealt(spark, n)
+    if buckets > n:  # more buckets than tasks: the others are dealt at random
+        names = np.concatenate([names, np.arange(1 << 30, (1 << 30) + buckets - n, dtype=np.int32)])
     rows = "bucket int, kind int, blob binary"
-    notes = stored(d.mapInArrow(lean(_emit(length, hot, n, n)), rows).repartition(n, "bucket").mapInArrow(lean(_settle_keys(length, n)), rows), "repeats")
-    texts = d.mapInArrow(lean(_text_rows(n)), rows)
+    by_bucket = lambda x: x.repartition(n, "bucket").sortWithinPartitions("bucket", *(c for c in x.columns if c == "kind"))
+    notes = stored(by_bucket(d.mapInArrow(lean(_emit(length, hot, names, names)), rows)).mapInArrow(lean(_settle_keys(length, names)), rows), "repeats")
+    texts = d.mapInArrow(lean(_text_rows(names)), rows)
 
     def beside_texts(x: DataFrame) -> DataFrame:
-        return x.unionByName(texts).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+        return by_bucket(x.unionByName(texts))
 
-    contexts = beside_texts(notes.filter(F.col("kind") == REQUESTS)).mapInArrow(lean(_contexts(length, n)), "bucket int, blob binary")
-    found = contexts.repartition(n, "bucket").mapInArrow(lean(_suffix_spans(length, n)), rows)
+    contexts = beside_texts(notes.filter(F.col("kind") == REQUESTS)).mapInArrow(lean(_contexts(length, names)), "bucket int, blob binary")
+    found = by_bucket(contexts).mapInArrow(lean(_suffix_spans(length, names)), rows)
     out = beside_texts(notes.filter(F.col("kind") == SPANS).unionByName(found)).mapInArrow(lean(_finish(with_bytes)), "wl_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
     return out.withColumnRenamed("wl_id", id_col)
