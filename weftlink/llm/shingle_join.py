@@ -8,7 +8,7 @@ to candidate groups, and inside each group every pair's exact Jaccard similarity
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from weftlink.llm.components import components
 from weftlink.llm.shared import buffers, lean, mix, odd_constants, partitions, ranges, slices, stored, text_of
 
 COORDINATES = 64
+LEVELS, DEPTH = 6, 12  # of the join tree: by shuffles, and below a node inside a task
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _ALONE = np.uint64(0x5851F42D4C957F2D)
@@ -99,7 +100,7 @@ def sets_of(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 
 def signatures(h: np.ndarray, sizes: np.ndarray, coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
-    """For each text with shingles: ``coordinates`` minima (32 bits) and a hash of the whole set (64 bits)."""
+    """For each text with shingles: ``coordinates`` minima (32 bits) and two hashes of the whole set (64 bits each)."""
     full = np.flatnonzero(sizes)
     at = (np.cumsum(sizes) - sizes)[full]
     sig = np.zeros((len(full), coordinates), np.uint32)
@@ -112,7 +113,8 @@ def signatures(h: np.ndarray, sizes: np.ndarray, coordinates: int = COORDINATES)
                 x = h[at[lo] : end]
                 for c in range(coordinates):
                     sig[lo:hi, c] = np.minimum.reduceat(((x * k[c]) >> np.uint64(32)).astype(np.uint32), at[lo:hi] - at[lo])
-        whole = mix(np.add.reduceat(mix(h ^ _ALONE), at) + sizes[full].astype(np.uint64)) if len(full) else np.zeros(0, np.uint64)
+        size = sizes[full].astype(np.uint64)
+        whole = np.stack([mix(np.add.reduceat(mix(h * k ^ _ALONE), at) + size) for k in odd_constants(2, 55)], axis=1) if len(full) else np.zeros((0, 2), np.uint64)
     return sig, whole
 
 
@@ -136,6 +138,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def meeting_chance(threshold: float, depth: int, repeats: int, least: int, coordinates: int = COORDINATES) -> float:
+    """The chance that two sets with a similarity of ``threshold`` meet in a bucket ``depth`` levels down in one of the
+    repetitions and agree in ``least`` coordinates. Given how many coordinates agree, the nodes that both sets share are a
+    branching process, the same in every repetition; its chance to end comes from its generating function."""
+    a = np.arange(coordinates + 1)
+    p = 1 / (threshold * coordinates)
+    none = (1 - p) ** coordinates  # then one coordinate is taken all the same
+    ended = np.zeros(len(a))
+    for _ in range(depth):
+        ended = (1 - p + p * ended) ** a - none + none * (1 - a / coordinates * (1 - ended))
+    agree = np.array([comb(coordinates, int(k)) for k in a], float) * threshold**a * (1 - threshold) ** (coordinates - a)
+    return float((agree * (1 - ended**repeats))[least:].sum())
+
+
 def _chosen(path: int, threshold: float, coordinates: int) -> np.ndarray:
     """The coordinates sampled at a node: each with probability 1 / (threshold * coordinates), at least one."""
     with np.errstate(over="ignore"):
@@ -328,7 +344,7 @@ def _exact(threshold: float):
 
 
 def shingle_join(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 96, large: int = 4096, group: int = 1024, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 96, large: int = 1024, group: int = 1024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(``id_col``, n_links, class_id), one row per input row: the self-join of word n-gram sets at Jaccard >= threshold.
 
@@ -340,35 +356,36 @@ def shingle_join(
     Sets that are equal are merged before anything else, so copies are never paired. Buckets over ``small`` are split
     further; nodes over ``large`` rows are split by further shuffles, and what never splits is compared in square cells of
     bounded size. Every pair inside a candidate group - groups over ``group`` rows likewise in cells - is decided exactly
-    by its whole sets. ``recall``: the least chance that a pair at the threshold meets in some bucket; the number of
-    repetitions follows from it (a pair meets in one with a chance of 1 - 1/e or more).
+    by its whole sets. ``recall``: the least chance that a pair at the threshold becomes a candidate, at the tree's greatest
+    depth; the number of repetitions follows from it (``meeting_chance``). Equal sets are those whose 128 bits of
+    hashes agree.
     """
     spark = docs.sparkSession
     d = text_of(docs, id_col, text_col).withColumn("wl_id", F.col("wl_id").cast("long"))
-    repeats = max(1, ceil(log(1 - recall) / log(0.45)))
     # chance agreement: a pair at the threshold agrees in fewer coordinates only with a probability of about 1 in 10,000
-    least = int(np.floor(COORDINATES * threshold - 3.7 * (COORDINATES * threshold * (1 - threshold)) ** 0.5))
+    least = max(1, int(np.floor(COORDINATES * threshold - 3.7 * (COORDINATES * threshold * (1 - threshold)) ** 0.5)))
+    most = meeting_chance(threshold, 0, 1, least)  # what the agreement alone leaves
+    repeats = next(r for r in range(1, 1000) if meeting_chance(threshold, LEVELS + DEPTH, r, least) >= min(recall, most - 1e-5))
     rows = stored(d.mapInArrow(lean(_sketch(n)), "wl_id long, wl_set binary, wl_sig binary"), "sketches")
     real = rows.filter("wl_set is not null and wl_id is not null")
     reps = real.groupBy("wl_set").agg(F.min("wl_id").alias("id"), F.count("*").alias("weight"), F.first("wl_sig").alias("sig"))
-    reps = stored(reps, "sets")
-    # ids stand for sets from here on; the id of another set may be equal only where rows repeat an id, so a number is used
-    keyed = reps.select(F.xxhash64("wl_set").alias("id"), "sig", "weight", F.col("id").alias("least_id"), "wl_set")
+    # numbers stand for sets from here on: ids may be equal where rows repeat one
+    keyed = stored(reps.select(F.monotonically_increasing_id().alias("id"), "sig", "weight", F.col("id").alias("least_id"), "wl_set"), "sets")
     parts = partitions(spark)
     nodes = keyed.select(F.lit(0).cast("long").alias("node"), "id", "sig").mapInArrow(lean(_split(threshold, repeats)), "node long, id long")
     edge_tables = []
-    for level in range(7):
+    for level in range(LEVELS + 1):
         nodes = stored(nodes, "nodes")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         # most nodes hold one set: only the others get their signatures
         shared = nodes.join(sizes, "node").join(keyed.select("id", "sig"), "id").select("node", "id", "sig", "size")
         shared = stored(shared, "shared-nodes")
-        if level == 6:  # what sampled coordinates don't split is compared in square cells
+        if level == LEVELS:  # what sampled coordinates don't split is compared in square cells
             cells = _cells(shared, "node", "size", large // 2).select("cell", "id", "sig")
             edge_tables.append(cells.repartition(parts, "cell").mapInArrow(lean(_edges(least, threshold, large, 0)), "u long, v long"))
             break
         here = shared.filter(F.col("size") <= large).select("node", "id", "sig")
-        edge_tables.append(here.repartition(parts, "node").mapInArrow(lean(_edges(least, threshold, small, 12)), "u long, v long"))
+        edge_tables.append(here.repartition(parts, "node").mapInArrow(lean(_edges(least, threshold, small, DEPTH)), "u long, v long"))
         more = shared.filter(F.col("size") > large).select("node", "id", "sig")
         if not more.limit(1).count():
             break
@@ -393,9 +410,9 @@ def shingle_join(
                 _, hashes = signatures(h, sizes, 0)
                 right = np.zeros(len(sizes), bool)
                 keys = b.column(0).flatten()
-                want = np.array([np.frombuffer(x, np.uint64)[0] for x in keys[0].to_pylist()], np.uint64)
+                want = np.frombuffer(b"".join(keys[0].to_pylist()), np.uint64).reshape(-1, 2)
                 full = np.flatnonzero(sizes)
-                right[full] = hashes == want[full]
+                right[full] = (hashes == want[full]).all(1)
                 out = pa.RecordBatch.from_arrays([*keys[1:], pa.array(sets, pa.binary())], names=["set_id", "grp", "weight", "shingles"])
                 yield out.filter(pa.array(right))
 
@@ -441,5 +458,8 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str =
     Rows with a null id, and rows without words, stay.
     """
     gone = shingle_join(docs, n, threshold, id_col=id_col, text_col=text_col).filter("class_id is not null").filter(F.col(id_col) != F.col("class_id"))
-    gone = gone.select(F.col(id_col).alias("wl_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("wl_gone"), "left_anti")
+    name = "wl_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = gone.select(F.col(id_col).cast("long").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
