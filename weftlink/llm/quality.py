@@ -7,6 +7,7 @@ that scores every whole text.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,10 +40,11 @@ def _byte_classes() -> np.ndarray:
 
 
 CLASS = _byte_classes()
+_WORD = re.compile(r"[^\t\n\r ]+")
 
 
 def statistics(texts: list[str], raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of ``STATISTICS`` per text; shares of an empty text are 0."""
+    """A row of ``STATISTICS`` per text; shares of an empty text are 0. Words are runs without space, tab, line feed or return."""
     n = np.diff(off)
     kind = CLASS[raw]
     total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[off])
@@ -51,6 +53,7 @@ def statistics(texts: list[str], raw: np.ndarray, off: np.ndarray) -> np.ndarray
     repeat = np.zeros(len(raw), bool)
     if len(raw):
         repeat[1:] = plain[1:] & (raw[1:] == raw[:-1])
+        repeat[off[:-1][n > 0]] = False  # no text repeats the mark that the one before it ends with
     starts = np.zeros(len(raw), bool)
     gap = (kind & _SPACE) > 0
     if len(raw):
@@ -61,7 +64,7 @@ def statistics(texts: list[str], raw: np.ndarray, off: np.ndarray) -> np.ndarray
     words = total(starts)
     lines = total(raw == 10) + 1
     div = lambda a, b: a / np.maximum(b, 1)
-    different = np.array([(len(set(t.split())), len(set(t.split("\n")))) for t in texts], float).reshape(-1, 2)
+    different = np.array([(len(set(_WORD.findall(t))), len(set(t.split("\n")))) for t in texts], float).reshape(-1, 2)
     return np.stack(
         [
             n, words, lines, div(n - count[_SPACE], words), div(words, lines), div(count[_UPPER], count[_LETTER]), div(count[_DIGIT], n), div(total(plain), n),
@@ -204,16 +207,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
-    """Fit on at most ``sample_rows`` labelled rows that are not held out, chosen by a hash of the id."""
+    """Fit on at most ``sample_rows`` labelled rows that are not held out, chosen by a hash of the id.
+
+    Labels other than 0 and 1, null ids, and labels without a document teach nothing. Of rows that repeat an id the one with the
+    least statistics counts, once for each of the id's labels. Null texts are empty ones. Without any row (an empty
+    table of either kind) the model scores 0.5; with one class, that class's smoothed share. Other columns don't matter.
+    """
     chosen = (
         labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
         .select(F.col(id_col).alias("wl_lid"), F.col(label_col).cast("double").alias("wl_y"))
         .orderBy(F.xxhash64("wl_lid", F.lit(17)), "wl_lid", "wl_y")
         .limit(sample_rows)
+        .distinct()
     )
     d = docs.select(F.col(id_col).alias("wl_id"), F.col(text_col).alias("wl_text")).join(F.broadcast(chosen), F.col("wl_id") == F.col("wl_lid"))
     d = d.select(F.struct("wl_id", "wl_y").alias("key"), "wl_text")
-    got = with_statistics(d, "key", "wl_text").select("key.wl_id", "key.wl_y", *STATISTICS).limit(4 * sample_rows).toPandas()
+    rows = with_statistics(d, "key", "wl_text").groupBy("key.wl_id", "key.wl_y").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    got = rows.select("wl_id", "wl_y", "s.*").toPandas()
     got = got.sort_values(["wl_id", "wl_y", *STATISTICS])  # the fit doesn't hang on the order of tasks
     return RuleEnsemble.fit(got[list(STATISTICS)].to_numpy(float), got["wl_y"].to_numpy(float))
 
@@ -230,7 +240,11 @@ def quality_scores(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3,
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, whose score reaches the threshold."""
+    """The rows of ``docs``, with their columns, whose score reaches the threshold.
+
+    Null texts score as empty ones and stay null; repeated rows and null ids are judged as any other; columns of any name
+    pass through. An empty table gives an empty table.
+    """
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches):
