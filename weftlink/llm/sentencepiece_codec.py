@@ -176,7 +176,8 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+            # texts are normalised whole: a user's piece in the middle starts no new text
+            return [np.array(e.ids, np.uint32) for e in self.bare.encode_batch([self._normal(t) for t in texts], add_special_tokens=False)]
         if len(self.known) > self.most:
             self.known = {}
         split = [self._split(self._normal(t)) for t in texts]
