@@ -23,12 +23,20 @@ from weftlink.operators import retrieval as T
 from weftlink.operators import rounds as R
 from weftlink.sources import tables as S
 
-STEPS = ("records", "normalised", "pairs", "features", "scores", "later", "refit", "rule", "base", "links", "final")
+STEPS = ("records", "normalised", "pairs", "features", "scores", "stacked", "later", "refit", "refit2", "edited", "rule", "base", "links", "final")
 FEATURES = [
     "is_s3", "name_ratio", "name_partial", "name_jw", "core_tset", "raw_name_ratio", "addr_ratio", "addr_tset", "house_edit", "core_eq", "compact_eq", "raw_name_eq", "len_l", "len_r", "tokens_l", "tokens_r", "token_overlap",
     "house_missing_l", "house_missing_r", "house_eq", "house_in", "house_in_reverse", "house_diff", "numbers_l", "numbers_r", "number_overlap", "word_overlap", "street_eq", "address_empty_r", "strong",
     "s1_candidates", "s1_strong", "s1_hard", "s1_core_eq", "name_rank", "name_gap", "raw_name_rank", "addr_rank", "addr_gap", "s23_candidates", "other_strong", "other_best_name", "other_name_gap",
 ]
+#: What a stage on top of the first scores knows of the other candidates, and what each later round's pairs bring along.
+STACKED = ["p_rank", "p_s1_max", "p_s1_second", "p_s1_sum", "p_s1_n50", "p_s2_max", "p_s3_max", "p_other_s1", "p_other_sum", "p_margin", "p_ratio", "p_s1_other", "n_peer", "peer_house", "peer_house_p", "peer_street", "peer_number", "peer_words_max", "peer_words_mean", "peer_house_share"]
+BASE = ["base_s1_max", "base_s1_n50", "base_s23_max", "base_s23_n50", "s23_taken"]
+ROUNDS = {"sibling": ["sib_p", "sib_n", "n_keys", "sib_core", "sib_house_street", "sib_first_house", "sib_ratio"], "name_pair": ["np_keys", "np_n1", "np_n2"], "trigram": ["cos", "cos_next", "gap", "p1"]}
+#: First-round features that the band's pairs keep; null for pairs of later rounds.
+STRUCTURAL = ["core_eq", "house_eq", "house_in", "house_in_reverse", "house_missing_l", "house_missing_r", "house_diff", "street_eq", "name_ratio", "core_tset", "addr_ratio", "addr_tset", "token_overlap", "number_overlap", "word_overlap"]
+#: Least score by the first round's model of a trigram pair, and of the band that refits and edits look at.
+PREFILTER, BAND = 0.5, 0.02
 #: Columns that name no evidence: keys, raw fields and labels.
 KEYS = {"s1", "s23", "country", "p", "y", "fold", "name_l", "name_r", "address_l", "address_r", "a1", "a2", "n1", "n2", "c1", "c2", "l1", "l2"}
 #: Least scores of added links (address only, misspelt cores), least margin of the noisy channel, odds of the choice.
@@ -38,19 +46,21 @@ STRICT = ("France", 0.7, 0.95)
 
 
 class Cascade:
-    """One run: ``dataset`` in, tables and lists under ``out``. ``trees``: boosted trees, else logistic regression."""
+    """One run: ``dataset`` in, tables, models and lists under ``out``. ``trees``: boosted trees that stop by a tenth of the
+    records, else logistic regression. ``crossed``: blocks of crossed tokens that the edit stage learns from."""
 
-    def __init__(self, spark: SparkSession, dataset: str, out: str, trees: bool = True, folds: int = M.FOLDS, rounds: int = 20):
-        self.spark, self.dataset, self.out, self.trees, self.folds, self.rounds = spark, dataset.rstrip("/"), out.rstrip("/"), trees, folds, rounds
+    def __init__(self, spark: SparkSession, dataset: str, out: str, trees: bool = True, folds: int = M.FOLDS, rounds: int = 20, crossed: tuple[str, ...] = tuple(P.CROSSED)):
+        self.spark, self.dataset, self.out, self.trees, self.folds, self.rounds, self.crossed = spark, dataset.rstrip("/"), out.rstrip("/"), trees, folds, rounds, crossed
+
+    def _there(self, path: str) -> bool:
+        marker = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.out}/{path}/_SUCCESS")
+        return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The table ``name``; made and written where its ``_SUCCESS`` marker is missing."""
-        path = f"{self.out}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
-            make().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        if not self._there(name):
+            make().write.mode("overwrite").parquet(f"{self.out}/{name}")
+        return self.spark.read.parquet(f"{self.out}/{name}")
 
     def records(self, split: str) -> DataFrame:
         """(id, source, country, name, address, entity_id) of three sources; ids are given once, when the table is written."""
@@ -79,12 +89,14 @@ class Cascade:
         return self.kept("train_truth", make)
 
     def dictionary(self) -> DataFrame:
-        """Words of other scripts and their Latin spelling, learned from train links."""
+        """Words and runs of words of other scripts and their Latin spelling, learned from train links."""
 
         def make() -> DataFrame:
             r = self.records("train").select("id", "name")
             names = self.truth().join(r.select(F.col("id").alias("s1"), F.col("name").alias("left")), "s1").join(r.select(F.col("id").alias("s23"), F.col("name").alias("right")), "s23")
-            return N.learn_transliteration(names.select("left", "right").na.drop()).select("token", "latin")
+            names = names.select("left", "right").na.drop()
+            words = self.kept("dictionary_words", lambda: N.learn_transliteration(names).select("token", "latin"))
+            return words.unionByName(N.learn_phrases(names, words)).dropDuplicates(["token"])
 
         return self.kept("dictionary", make)
 
@@ -100,91 +112,201 @@ class Cascade:
     def _columns(self) -> list[str]:
         return [*FEATURES, *[f"f_{f.name}" for f in B.FAMILIES], "n_families"]
 
-    def _fitted(self, train: DataFrame, test: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-        """(s1, s23, p): out of fold for the train pairs, by a model of all of them for the test pairs. Pairs of a round
-        whose train pairs all lie in one fold, or that has none, get no score."""
-        labelled = train.join(self.truth().withColumn("y", F.lit(1)), R.LINK, "left").na.fill(0, ["y"])
-        if labelled.select(M.fold_of(F.col("s1"), self.folds)).distinct().count() < 2:
-            none = self.spark.createDataFrame([], "s1 long, s23 long, p double")
-            return none, none
-        n = labelled.count()
-        make = (lambda: M.trees(rounds=self.rounds)) if self.trees else (lambda: M.logistic(n))
-        oof = M.cross_fit(labelled, columns, make, folds=self.folds).select(*R.LINK, "p")
-        return oof, M.score(M.fit(labelled, columns, make()), test, columns).select(*R.LINK, "p")
+    def _labelled(self, train: DataFrame) -> DataFrame:
+        return train.join(self.truth().withColumn("y", F.lit(1)), R.LINK, "left").na.fill(0, ["y"]).withColumn("fold", M.fold_of(F.col("s1"), self.folds))
+
+    def _model(self, name: str, fold: int, labelled: DataFrame, columns: list[str]):
+        """The model ``name`` of the rows outside ``fold`` (of all for -1); fitted and saved where it is missing."""
+        path = f"models/{name}/{fold}"
+        if not self._there(f"{path}/metadata"):
+            rows = labelled.filter(F.col("fold") != fold)
+            estimator = M.trees(rounds=self.rounds, validation="wl_valid") if self.trees else M.logistic(rows.count())
+            model = M.fit(rows, columns, estimator)
+            M.save(model, f"{self.out}/{path}")
+            if fold < 0:
+                self.spark.createDataFrame(M.gain_shares(model, columns), "feature string, share double").coalesce(1).write.mode("overwrite").json(f"{self.out}/models/{name}/shares")
+        return M.load(f"{self.out}/{path}")
+
+    def _apply(self, name: str, pairs: DataFrame, split: str, labelled: DataFrame, columns: list[str]) -> DataFrame:
+        """``pairs`` with p by the models of ``name``: train pairs by the one that left their fold out, test pairs by that of all."""
+        if split != "train":
+            return M.score(self._model(name, -1, labelled, columns), pairs, columns)
+        d, out = pairs.withColumn("fold", M.fold_of(F.col("s1"), self.folds)), None
+        for k in range(self.folds):
+            part = M.score(self._model(name, k, labelled, columns), d.filter(F.col("fold") == k), columns).drop("fold")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def _scored(self, name: str, split: str, features: Callable[[str], DataFrame], columns: list[str]) -> DataFrame:
-        """Scores of a split; models are fitted once, for both splits."""
+        """(s1, s23, p) of a split. Pairs of a round whose train pairs all lie in one fold, or all have one label, or that has
+        none, get no score."""
 
         def make() -> DataFrame:
-            oof, test = self._fitted(features("train"), features("test"), columns)
-            return oof.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+            labelled = self._labelled(features("train"))
+            few = labelled.agg(F.count_distinct("fold").alias("f"), F.count_distinct("y").alias("y")).first()
+            if few.f < 2 or few.y < 2:
+                return self.spark.createDataFrame([], "s1 long, s23 long, p double")
+            return self._apply(name, features(split), split, labelled, columns).select(*R.LINK, "p")
 
-        return self.kept(name, make).filter(F.col("split") == split).drop("split")
+        return self.kept(f"{split}_{name}", make)
 
     def scores(self, split: str) -> DataFrame:
         return self._scored("scores", split, self.features, self._columns())
 
-    def new_pairs(self, split: str) -> DataFrame:
-        """Sibling and name-pair candidates, with features that count the first round's pairs as competitors."""
+    def stack_pairs(self, split: str) -> DataFrame:
+        """First-round features with the first scores of both records' other candidates, and what confident ones share."""
+
+        def make() -> DataFrame:
+            f, first = self.features(split), self.scores(split)
+            frame = P.stack_frame(first.join(f.select(*R.LINK, "is_s3"), R.LINK))
+            return f.join(frame.withColumnRenamed("p", "base_p"), R.LINK).join(P.peers(first, self.normalised(split)), R.LINK, "left")
+
+        return self.kept(f"{split}_stack_pairs", make)
+
+    def stacked(self, split: str) -> DataFrame:
+        return self._scored("stack_scores", split, self.stack_pairs, [*self._columns(), "base_p", *STACKED])
 
+    def _window(self, found: DataFrame, split: str, earlier: list[DataFrame], scores: DataFrame) -> DataFrame:
+        """New pairs with features that count earlier rounds' pairs as competitors, and the scores of both records so far."""
+        cols = [*R.LINK, "name_ratio", "raw_name_ratio", "addr_tset", "core_eq", "strong"]
+        known = self.features(split).select(*cols)
+        for e in earlier:
+            known = known.unionByName(e.select(*cols))
+        new = R.competitors_of_new(R.window_of_new(P.pair_features(found, self.normalised(split)), known), P.record_context(known))
+        return P.with_base(new, scores)
+
+    def sibling_pairs(self, split: str) -> DataFrame:
         def make() -> DataFrame:
-            r, first = self.normalised(split), self.scores(split)
-            found = R.with_links(B.siblings(first.filter("p >= 0.5"), r, first), B.name_pairs(r, first))
-            known = self.features(split)
-            return R.competitors_of_new(R.window_of_new(P.pair_features(found, r), known), P.record_context(known))
+            first = self.stacked(split)
+            return self._window(B.siblings(first.filter("p >= 0.5"), self.normalised(split), first), split, [], first)
+
+        return self.kept(f"{split}_sibling", make)
 
-        return self.kept(f"{split}_new", make)
+    def name_pair_pairs(self, split: str) -> DataFrame:
+        def make() -> DataFrame:
+            known = self.stacked(split).select(*R.LINK).unionByName(self.sibling_pairs(split).select(*R.LINK))
+            return self._window(B.name_pairs(self.normalised(split), known), split, [self.sibling_pairs(split)], self._after(split, 1))
 
-    def _two_rounds(self, split: str) -> DataFrame:
-        return self.scores(split).unionByName(self._scored("new_scores", split, self.new_pairs, FEATURES))
+        return self.kept(f"{split}_name_pair", make)
 
     def trigram_pairs(self, split: str) -> DataFrame:
-        """The nearest reference record by trigrams of noisy records with an address and no candidate at 0.5 so far."""
+        """The nearest reference record by trigrams of noisy records with an address and no candidate at 0.5 so far, where the
+        first round's model, told that no family found them, gives them ``PREFILTER``."""
 
         def make() -> DataFrame:
-            r, known = self.normalised(split), self._two_rounds(split)
+            r, known = self.normalised(split), self._after(split, 2)
             part = lambda c: F.array_join(F.coalesce(c, F.array()), " ")
             t = r.select("id", "source", "country", "address", F.trim(F.concat_ws(" ", "core", part("words"), part("numbers"))).alias("text"))
             done = known.filter("p >= 0.5").select(F.col("s23").alias("id")).distinct()
             asking = t.filter((F.col("source") != 1) & ~X.has_no_address(F.col("address"))).join(done, "id", "left_anti")
             found = T.trigram_top(t.filter("source = 1"), asking, 1).select(*R.LINK, "cos", "cos_next", "gap").join(known.select(*R.LINK), R.LINK, "left_anti")
-            cols = [*R.LINK, "name_ratio", "raw_name_ratio", "addr_tset", "core_eq", "strong"]
-            before = self.features(split).select(*cols).unionByName(self.new_pairs(split).select(*cols))
-            return R.competitors_of_new(R.window_of_new(P.pair_features(found, r), before), P.record_context(before))
+            pairs = self._window(found, split, [self.sibling_pairs(split), self.name_pair_pairs(split)], known)
+            blind = pairs.withColumns({**{f"f_{f.name}": F.lit(False) for f in B.FAMILIES}, "n_families": F.lit(0)})
+            p1 = self._apply("scores", blind, split, self._labelled(self.features("train")), self._columns()).select(*R.LINK, F.col("p").alias("p1"))
+            return pairs.join(p1.filter(F.col("p1") >= PREFILTER), R.LINK)
 
         return self.kept(f"{split}_trigram", make)
 
+    def _after(self, split: str, rounds: int) -> DataFrame:
+        """Scores of the stacked first round and of the first ``rounds`` later ones."""
+        out = self.stacked(split)
+        for name in list(ROUNDS)[:rounds]:
+            out = out.unionByName(self._scored(f"{name}_scores", split, getattr(self, "trigram_pairs" if name == "trigram" else f"{name}_pairs"), [*FEATURES, *ROUNDS[name], *BASE]))
+        return out
+
     def later(self, split: str) -> DataFrame:
         """Scores of all rounds' pairs."""
-        return self._two_rounds(split).unionByName(self._scored("trigram_scores", split, self.trigram_pairs, [*FEATURES, "cos", "cos_next", "gap"]))
+        return self._after(split, len(ROUNDS))
 
     def refit_pairs(self, split: str) -> DataFrame:
-        """Pairs at 0.02 and over with the context of both records over all rounds and IDF and soft overlaps of words."""
+        """Pairs at ``BAND`` and over with the context of both records over all rounds, IDF and soft overlaps of words, and the
+        first round's structure."""
 
         def make() -> DataFrame:
             scores, r = self.later(split), self.normalised(split)
-            band = scores.filter("p >= 0.02").withColumnRenamed("p", "base_p")
+            band = scores.filter(F.col("p") >= BAND).withColumnRenamed("p", "base_p")
             out = band
             for side in R.LINK:
                 c = P.side_context(scores, side)
                 out = out.join(c.toDF(side, *[f"{side}_{n}" for n in c.columns[1:]]), side)
             for kind in ("name", "address"):
-                o = P.idf_overlap(band, r, kind)
-                out = out.join(o.toDF(*R.LINK, *[f"{kind}_{n}" for n in o.columns[2:]]), R.LINK, "left")
-            return out.join(P.soft_overlap(band, r), R.LINK, "left").join(r.filter("source = 1").select(F.col("id").alias("s1"), "country"), "s1")
+                for o in (P.idf_overlap(band, r, kind), P.soft_overlap(band, r, kind)):
+                    out = out.join(o.toDF(*R.LINK, *[f"{kind}_{n}" for n in o.columns[2:]]), R.LINK, "left")
+            out = out.join(self.features(split).select(*R.LINK, *STRUCTURAL), R.LINK, "left")
+            return out.join(r.filter("source = 1").select(F.col("id").alias("s1"), "country"), "s1")
 
         return self.kept(f"{split}_refit_pairs", make)
 
+    def _replaced(self, split: str, before: DataFrame, scored: DataFrame) -> DataFrame:
+        """``before`` with the scores of ``scored`` where there are any; countries without train links keep theirs."""
+        seen = self.s1("train").join(self.truth().select("s1").distinct(), "s1", "left_semi").select("country").distinct()
+        known = self.s1(split).join(seen, "country", "left_semi").select("s1")
+        return M.refit(before, scored.join(known, "s1", "left_semi"))
+
+    def _refit_scores(self, split: str) -> DataFrame:
+        return self._scored("refit_scores", split, self.refit_pairs, self._evidence(self.refit_pairs("train")))
+
     def refit(self, split: str) -> DataFrame:
-        """All rounds' scores, those of the band replaced by a model's; countries without train links keep theirs."""
+        """All rounds' scores, those of the band replaced by a model's."""
+        return self.kept(f"{split}_refit", lambda: self._replaced(split, self.later(split), self._refit_scores(split)))
+
+    def refit2_pairs(self, split: str) -> DataFrame:
+        """The band with the first refit's probabilities among the candidates of both records; on train those are out of fold."""
 
         def make() -> DataFrame:
-            scored = self._scored("refit_scores", split, self.refit_pairs, self._evidence(self.refit_pairs("train")))
-            seen = self.s1("train").join(self.truth().select("s1").distinct(), "s1", "left_semi").select("country").distinct()
-            known = self.s1(split).join(seen, "country", "left_semi").select("s1")
-            return M.refit(self.later(split), scored.join(known, "s1", "left_semi"))
+            q = R.refit_context(self._refit_scores(split).withColumnRenamed("p", "q"))
+            return self.refit_pairs(split).join(q, R.LINK)
+
+        return self.kept(f"{split}_refit2_pairs", make)
 
-        return self.kept(f"{split}_refit", make)
+    def refit2(self, split: str) -> DataFrame:
+        """The first refit's scores, those of the band replaced by a second model's."""
+        return self.kept(f"{split}_refit2", lambda: self._replaced(split, self.refit(split), self._scored("refit2_scores", split, self.refit2_pairs, self._evidence(self.refit2_pairs("train")))))
+
+    def edit_pairs(self, split: str) -> DataFrame:
+        """The band of the second refit with its context, raw-text edits and word features."""
+
+        def make() -> DataFrame:
+            scores, r = self.refit2(split), self.normalised(split)
+            context = P.score_context(scores).select(*R.LINK, F.col("p").alias("base_p"), "ratio", "p_s1_max", "p_s23_max", "rank_s1", "rank_s23", "n50_s1", "n50_s23")
+            band = context.filter(F.col("base_p") >= BAND)
+            out = band.join(P.edit_features(band, r), R.LINK).join(P.word_features(band, r), R.LINK)
+            return out.join(r.filter("source = 1").select(F.col("id").alias("s1"), (F.col("country") == "US").alias("us"), "country"), "s1")
+
+        return self.kept(f"{split}_edit_pairs", make)
+
+    def _keys(self, split: str) -> dict[str, DataFrame]:
+        """(s1, s23, keys) of the band by block: one-side grams and words, and crossed tokens."""
+        band, r = self.edit_pairs(split), self.normalised(split)
+        found = {"one_side": P.one_side_keys(band, r).unionByName(P.one_side_words(band, r)), **{b: P.crossed_keys(band, r, b) for b in self.crossed}}
+        of = lambda d: band.select(*R.LINK).join(d.groupBy(*R.LINK).agg(F.collect_set("key").alias("keys")), R.LINK, "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+        return {b: self.kept(f"{split}_keys_{b}", lambda d=d: of(d)) for b, d in found.items()}
+
+    def edited(self, split: str) -> DataFrame:
+        """The second refit's scores, those of the band replaced by a model of edits, words and the logits of sparse regressions
+        on hashed keys. Logits are nested: no model sees one that knew its own label."""
+
+        def make() -> DataFrame:
+            train, target = self._labelled(self.edit_pairs("train")), self.edit_pairs(split)
+            few = train.agg(F.count_distinct("fold").alias("f"), F.count_distinct("y").alias("y")).first()
+            if few.f < 2 or few.y < 2:
+                return self.refit2(split)
+            columns, out = self._evidence(self.edit_pairs("train")), None
+            mine, ours = self._keys("train"), self._keys(split)
+            for k in range(self.folds) if split == "train" else [-1]:
+                rows = train.filter(F.col("fold") != k)
+                scored = target if k < 0 else target.filter(M.fold_of(F.col("s1"), self.folds) == k)
+                for b in mine:
+                    name = f"{b}_logit"
+                    fit_on, asked = M.nested_logits(mine[b].join(rows.select(*R.LINK, "y"), R.LINK), ours[b].join(scored.select(*R.LINK), R.LINK), name)
+                    rows, scored = rows.join(fit_on, R.LINK), scored.join(asked, R.LINK)
+                names = [*columns, *[f"{b}_logit" for b in mine]]
+                rows = self.kept(f"edit_rows_{k}", lambda rows=rows: rows)
+                part = M.score(self._model("edit", k, rows, names), scored, names).select(*R.LINK, "p")
+                out = part if out is None else out.unionByName(part)
+            return self._replaced(split, self.refit2(split), out)
+
+        return self.kept(f"{split}_edited", make)
 
     @staticmethod
     def _evidence(pairs: DataFrame) -> list[str]:
@@ -192,13 +314,13 @@ class Cascade:
 
     def rule(self) -> DataFrame:
         """(partition, threshold, relative, f05): the best rule for the train split's out-of-fold scores."""
-        return self.kept("rule", lambda: D.best_rule(D.tune(self.spark, self.refit("train"), self.s1("train"), self.truth())))
+        return self.kept("rule", lambda: D.best_rule(D.tune(self.spark, self.edited("train"), self.s1("train"), self.truth())))
 
     def base(self, split: str) -> DataFrame:
         """Links by country: the tuned rule, and the strict one where it is set."""
 
         def make() -> DataFrame:
-            best, scores = self.rule().first(), self.refit(split)
+            best, scores = self.rule().first(), self.edited(split)
             rules = self.spark.createDataFrame([STRICT, (None, best.threshold, best.relative)], "country string, threshold double, relative double")
             links = D.decide_by_country(scores, self.s1(split), rules).select(*R.LINK)
             return links.join(D.decide(scores, 0.0, 0.0, True).select(*R.LINK), R.LINK, "left_semi") if best.partition else links
@@ -211,7 +333,7 @@ class Cascade:
         def make() -> DataFrame:
             base = self.base(split)
             mine = self.s1(split).filter(F.col("country") == STRICT[0]).select("s1")
-            rest = self.refit(split).filter("p >= 0.05").join(mine, "s1", "left_semi").join(base.select("s23").distinct(), "s23", "left_anti")
+            rest = self.edited(split).filter("p >= 0.05").join(mine, "s1", "left_semi").join(base.select("s23").distinct(), "s23", "left_anti")
             return R.with_links(base, R.rescue(R.rescue_features(rest, self.records(split))))
 
         return self.kept(f"{split}_rescued", make)
@@ -223,7 +345,7 @@ class Cascade:
             r, links = self.records(split), self.rescued(split)
             found = B.address_only_match(r).join(links.select("s23").distinct(), "s23", "left_anti")
             shaped = R.address_shape(found, r).join(self.s1(split).select("s1", "country"), "s1")
-            return R.entity_context(shaped, links, self.refit(split).withColumnRenamed("p", "x"))
+            return R.entity_context(shaped, links, self.edited(split).withColumnRenamed("p", "x"))
 
         return self.kept(f"{split}_address_only", make)
 
@@ -260,7 +382,7 @@ class Cascade:
 
     def outside(self) -> dict[str, float]:
         """True links of a train record below 0.02 or never scored, on average by country: a row per country."""
-        lost = self.truth().join(self.refit("train").filter("p >= 0.02").select(*R.LINK), R.LINK, "left_anti")
+        lost = self.truth().join(self.edited("train").filter(F.col("p") >= BAND).select(*R.LINK), R.LINK, "left_anti")
         report = R.link_report(lost, self.s1("train").join(self.truth().select("s1").distinct(), "s1", "left_semi"))
         return {r.country: float(r.per_record) for r in report.collect()}
 
@@ -268,7 +390,7 @@ class Cascade:
         """``links`` with the rule's replaced by those of the largest expected F0.5 of each record."""
 
         def make() -> DataFrame:
-            x = self.refit(split).filter("p >= 0.02").withColumn("x", D.odds_shift(F.col("p"), ODDS)).join(self.s1(split).select("s1", "country"), "s1")
+            x = self.edited(split).filter(F.col("p") >= BAND).withColumn("x", D.odds_shift(F.col("p"), ODDS)).join(self.s1(split).select("s1", "country"), "s1")
             added = self.links(split).join(self.base(split), R.LINK, "left_anti")
             return R.with_links(D.choose(x, self.outside()), added)
 
@@ -283,10 +405,14 @@ class Cascade:
             S.write_id_lists(S.id_lists(self.s1(split).select(F.col("entity_id").alias("s1")), named, name), f"{self.out}/{folder}")
 
     def report(self) -> DataFrame:
-        """(step, f05): macro F0.5 of the train split's out-of-fold links by the rule, with added ones, and as written."""
-        out = None
-        for step in ("base", "links", "final"):
-            d = D.macro_f05(self.s1("train").select("s1"), self.truth(), getattr(self, step)("train")).select(F.lit(step).alias("step"), "f05")
+        """(step, f05): macro F0.5 of the train split's out-of-fold links: by the tuned rule over each step's scores, then with
+        added links, and as written."""
+        s1, out = self.s1("train").select("s1"), None
+        best = self.rule().first()
+        steps = {n: D.decide(getattr(self, n)("train"), best.threshold, best.relative, best.partition) for n in ("scores", "stacked", "later", "refit", "refit2", "edited")}
+        steps |= {n: getattr(self, n)("train") for n in ("base", "links", "final")}
+        for step, links in steps.items():
+            d = D.macro_f05(s1, self.truth(), links).select(F.lit(step).alias("step"), "f05")
             out = d if out is None else out.unionByName(d)
         return out
 

@@ -135,3 +135,10 @@ def char_grams(c: Column, n: int = 3) -> Column:
         return F.transform(at, lambda i: F.substring(p, i, F.lit(n)))
 
     return F.array_distinct(F.flatten(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), of)))
+
+
+def padded_grams(c: Column, n: int = 3) -> Column:
+    """Distinct character n-grams of a whole text, white space as one space and one space more at either end."""
+    p = F.concat(F.lit(" "), F.regexp_replace(c, r"\s+", " "), F.lit(" "))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: i <= F.length(p) - n + 1)
+    return F.array_distinct(F.transform(at, lambda i: F.substring(p, i, F.lit(n))))

@@ -46,8 +46,8 @@ def key_parts(records: DataFrame) -> DataFrame:
     r = records.withColumn("tokens", tok)
     long = r.select("id", "source", "country", F.explode("tokens").alias("token"))
     n = long.groupBy("country", "token").agg(F.count("*").alias("n"))
-    ranked = long.join(n, ["country", "token"]).withColumn("r", F.row_number().over(Window.partitionBy("id", "source").orderBy("n", "token")))
-    rare = ranked.filter("r <= 3").groupBy("id", "source").agg(F.array_sort(F.collect_list("token")).alias("rare"))
+    three = F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, 3)
+    rare = long.join(n, ["country", "token"]).groupBy("id", "source").agg(F.array_sort(F.transform(three, lambda t: t["token"])).alias("rare"))
     six = F.length("compact") >= 6
     return r.join(rare, ["id", "source"], "left").select(
         "id", "source", "country", F.nullif("core", F.lit("")).alias("core"), F.when(six, F.col("compact")).alias("compact"), F.when(six, F.substring("compact", 1, 8)).alias("prefix"),
@@ -55,44 +55,71 @@ def key_parts(records: DataFrame) -> DataFrame:
     )
 
 
-def family_keys(parts: DataFrame, family: Family) -> DataFrame:
-    """(id, source, country, k0, k1): every key of the family; records without one of its parts have none."""
-    d = parts
-    for i in range(2):
-        if i < len(family.parts):
-            p = family.parts[i]
-            d = d.withColumn(f"k{i}", F.explode(LISTS[p]) if p in LISTS else F.col(p))
-        else:
-            d = d.withColumn("k1", F.lit(""))
-    return d.select("id", "source", "country", "k0", "k1").dropna().distinct()
+def family_keys(parts: DataFrame, families: tuple[Family, ...]) -> DataFrame:
+    """(id, source, country, family, k0, k1): every key of every family, by its place in ``families``; records without one of
+    a family's parts have none of its keys. One row of parts gives all of its keys at once."""
 
+    def values(part: str) -> F.Column:
+        every = F.coalesce(part, F.array().cast("array<string>")) if part in LISTS.values() else F.array(part)
+        return F.filter(every, lambda v: v.isNotNull())
 
-def capped_pairs(keys: DataFrame, on: list[str], cap_s1: int, cap_s23: int) -> DataFrame:
-    """Distinct (s1, s23) that share a key whose block is within both caps. One aggregate counts both sides, so a key
-    that is too frequent is dropped before any pair is made."""
-    size = keys.groupBy(*on).agg(F.count_if(F.col("source") == 1).alias("n1"), F.count_if(F.col("source") != 1).alias("n2"))
-    allowed = size.filter(F.col("n1").between(1, cap_s1) & F.col("n2").between(1, cap_s23)).select(*on)
-    kept = keys.join(allowed, on, "left_semi")
-    left = kept.filter("source = 1").select(*on, F.col("id").alias("s1"))
-    right = kept.filter("source <> 1").select(*on, F.col("id").alias("s23"))
-    return left.join(right, on).select("s1", "s23").distinct()
+    def keys(i: int, f: Family) -> F.Column:
+        first, *more = [values(LISTS.get(p, p)) for p in f.parts]
+        second = more[0] if more else F.array(F.lit(""))
+        return F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.struct(F.lit(i).alias("family"), a.alias("k0"), b.alias("k1")))))
+
+    every = F.array_distinct(F.concat(*[keys(i, f) for i, f in enumerate(families)]))
+    return parts.filter("country is not null").select("id", "source", "country", F.explode(every).alias("k")).select("id", "source", "country", "k.*")
+
+
+def capped_pairs(keys: DataFrame, families: tuple[Family, ...]) -> DataFrame:
+    """(family, s1, s23) of all blocks within their family's caps; a pair of several keys comes several times. One aggregate
+    counts both sides, so a key that is too frequent is gone before any pair is made; what is left of a block has at most
+    its caps' ids."""
+    on = ["country", "family", "k0", "k1"]
+    cap = lambda name: F.get(F.array(*[F.lit(getattr(f, name)) for f in families]), F.col("family"))
+    reference = F.col("source") == 1
+    size = keys.groupBy(*on).agg(F.count_if(reference).alias("n1"), F.count_if(~reference).alias("n2"))
+    allowed = size.filter((F.col("n1") > 0) & (F.col("n1") <= cap("cap_s1")) & (F.col("n2") > 0) & (F.col("n2") <= cap("cap_s23"))).select(*on)
+    blocks = keys.join(allowed, on, "left_semi").groupBy(*on).agg(F.collect_list(F.when(reference, F.col("id"))).alias("a"), F.collect_list(F.when(~reference, F.col("id"))).alias("b"))
+    return blocks.select("family", F.explode("a").alias("s1"), "b").select("family", "s1", F.explode("b").alias("s23"))
 
 
 def block(parts: DataFrame, family: Family) -> DataFrame:
-    return capped_pairs(family_keys(parts, family), ["country", "k0", "k1"], family.cap_s1, family.cap_s23)
+    return capped_pairs(family_keys(parts, (family,)), (family,)).select("s1", "s23").distinct()
 
 
 def union_with_flags(parts: DataFrame, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
-    """(s1, s23, f_<family> ..., n_families): all families' pairs, which families found each and how many."""
-    every = None
-    for i, f in enumerate(families):
-        p = block(parts, f).withColumn("bit", F.lit(1 << i))
-        every = p if every is None else every.unionByName(p)
-    mask = every.groupBy("s1", "s23").agg(F.bit_or("bit").alias("mask"))
+    """(s1, s23, f_<family> ..., n_families): all families' pairs, which families found each and how many. All families go
+    through the same three shuffles: keys counted, keys met, pairs met."""
+    bit = F.get(F.array(*[F.lit(1 << i) for i in range(len(families))]), F.col("family"))
+    mask = capped_pairs(family_keys(parts, families), families).groupBy("s1", "s23").agg(F.bit_or(bit).alias("mask"))
     flags = [(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(f"f_{f.name}") for i, f in enumerate(families)]
     return mask.select("s1", "s23", *flags, F.bit_count("mask").alias("n_families"))
 
 
+def uncapped_reach(parts: DataFrame, truth: DataFrame, families: tuple[Family, ...] = FAMILIES, links: int = 300_000) -> DataFrame:
+    """(family, links, reached): of at most ``links`` true links, chosen by a hash, how many share a key of the family whatever
+    its block's size."""
+    sample = truth.select("s1", "s23").distinct().orderBy(F.xxhash64("s1", "s23"), "s1", "s23").limit(links)
+    keys = family_keys(parts, families)
+    on = ["family", "k0", "k1"]
+    left = sample.join(keys.filter("source = 1").select(F.col("id").alias("s1"), *on), "s1")
+    right = sample.join(keys.filter("source <> 1").select(F.col("id").alias("s23"), *on), "s23")
+    met = left.join(right, ["s1", "s23", *on]).select("family", "s1", "s23").distinct().groupBy("family").agg(F.count("*").alias("reached"))
+    names = F.array(*[F.struct(F.lit(i).alias("family"), F.lit(f.name).alias("name")) for i, f in enumerate(families)])
+    return sample.agg(F.count("*").alias("links")).select(F.explode(names).alias("f"), "links").select("f.*", "links").join(met, "family", "left").select(F.col("name").alias("family"), "links", F.coalesce("reached", F.lit(0)).alias("reached"))
+
+
+def union_growth(flags: DataFrame, truth: DataFrame, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
+    """(step, family, pairs, found): pairs and true links of the first families together, one more at a time."""
+    d = flags.join(truth.select("s1", "s23").distinct().withColumn("hit", F.lit(1)), ["s1", "s23"], "left")
+    upto = lambda i: F.greatest(*[F.col(f"f_{f.name}") for f in families[: i + 1]], F.lit(False))
+    sums = d.agg(*[F.count_if(upto(i)).alias(f"p{i}") for i in range(len(families))], *[F.count_if(upto(i) & F.col("hit").isNotNull()).alias(f"h{i}") for i in range(len(families))])
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(f.name).alias("family"), F.col(f"p{i}").alias("pairs"), F.col(f"h{i}").alias("found")) for i, f in enumerate(families)])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def recall_report(pairs: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
     """Per country: links, links found, recall, pairs and the oracle's F0.5 (all found links kept, nothing else)."""
     t = truth.join(s1.select(F.col("id").alias("s1"), "country"), "s1")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ def imputed(frame: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]
 
 
 def trees(rounds: int = 20, depth: int = 4, seed: int = 3, validation: str | None = None) -> GBTClassifier:
+    """Boosted trees. ``validation``: a boolean column; its rows stop the boosting once they gain no more."""
     m = GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=seed)
     return m.setValidationIndicatorCol(validation) if validation else m
 
@@ -40,12 +41,53 @@ def logistic(n_rows: int) -> LogisticRegression:
     return LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False)
 
 
-def fit(frame: DataFrame, features: list[str], estimator):
-    """``frame`` has the label y; rows without a label are left out."""
-    d, names = imputed(frame.filter("y is not null"), features)
+def fit(frame: DataFrame, features: list[str], estimator, key: str = "s1"):
+    """``frame`` has the label y; rows without a label are left out. An estimator with a validation column gets a tenth of
+    the reference records to stop by, chosen by a hash."""
+    rows = frame.filter("y is not null")
+    if estimator.hasParam("validationIndicatorCol") and estimator.isDefined("validationIndicatorCol"):
+        rows = rows.withColumn(estimator.getValidationIndicatorCol(), portable_bucket(10, F.col(key), F.lit("valid")) == 0)
+    d, names = imputed(rows, features)
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), estimator]).fit(d.withColumn("y", F.col("y").cast("double")))
 
 
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def gain_shares(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
+    """Each feature's share of the trees' gain, null flags counted with their feature, largest first; of a linear model the
+    share of the absolute weights."""
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+    share = {f: float(values[i] + values[len(features) + i]) for i, f in enumerate(features)}
+    total = sum(share.values()) or 1.0
+    return sorted(((f, v / total) for f, v in share.items()), key=lambda x: (-x[1], x[0]))
+
+
+def sparse_fit(rows: DataFrame, bits: int = 18) -> PipelineModel:
+    """L2 logistic regression over hashed, binary keys (an array of strings) with the label y."""
+    d = rows.select("keys", F.col("y").cast("double").alias("y"))
+    return Pipeline(stages=[HashingTF(inputCol="keys", outputCol="x", numFeatures=1 << bits, binary=True), logistic(d.count())]).fit(d)
+
+
+def sparse_logit(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
+    """(s1, s23, name): the regression's logit."""
+    return model.transform(rows.select("s1", "s23", "keys")).select("s1", "s23", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias(name))
+
+
+def nested_logits(rows: DataFrame, target: DataFrame, name: str, bits: int = 18) -> tuple[DataFrame, DataFrame]:
+    """Logits of labelled ``rows`` and of ``target``: each row by a regression on the other half of the rows' reference
+    records, the target by one on all rows. So a model on top never sees a logit that knew its own label."""
+    half = portable_bucket(2, F.col("s1"), F.lit("inner"))
+    parts = [sparse_logit(sparse_fit(rows.filter(half != k), bits), rows.filter(half == k), name) for k in (0, 1)]
+    return parts[0].unionByName(parts[1]), sparse_logit(sparse_fit(rows, bits), target, name)
+
+
 def score(model, frame: DataFrame, features: list[str], name: str = "p") -> DataFrame:
     d, names = imputed(frame, features)
     out = model.transform(d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,57 +12,72 @@ from weftlink.functions import text as X
 INDIC = r"[ऀ-෿]"
 
 
+def _words(name: str = "name") -> F.Column:
+    return F.transform(X.tokens(X.fold(F.col(name))), X.unglyph)
+
+
+def _translated(records: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(id, words): the words of ``records``, with runs and words of ``dictionary`` (token, latin) replaced. Both are joined:
+    a run's entry by its first word, so neither the dictionary nor its phrases travel to every task."""
+    words = F.split("token", " ")
+    # longest runs first; an entry is the run, a tab and what replaces it, a line each
+    entry = F.struct((-F.size(words)).alias("n"), F.concat("token", F.lit("\t"), "latin").alias("line"))
+    options = dictionary.select(words[0].alias("word"), entry.alias("o")).groupBy("word").agg(F.array_sort(F.collect_list("o")).alias("o"))
+    options = options.select("word", F.array_join(F.transform("o", lambda o: o["line"]), "\n").alias("options"))
+    at = records.select("id", F.posexplode(_words()).alias("pos", "word")).join(options, "word", "left")
+    g = at.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "options"))).alias("w"))
+    return g.select("id", replaced(F.transform("w", lambda x: x["word"]), F.transform("w", lambda x: F.coalesce(x["options"], F.lit("")))).alias("words"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def replaced(words: pd.Series, options: pd.Series) -> pd.Series:
+    """Runs of words replaced by one word, longest first from the left. ``options``: for each word the runs that begin with
+    it, longest first, as lines of run, tab and replacement."""
+
+    def one(w, o):
+        w, out, i = list(w), [], 0
+        while i < len(w):
+            n, new = 1, w[i]
+            for line in filter(None, o[i].split("\n")):
+                run, latin = line.split("\t")
+                run = run.split(" ")
+                if w[i : i + len(run)] == run:
+                    n, new = len(run), latin
+                    break
+            out.append(new)
+            i += n
+        return out
+
+    return pd.Series([one(w, o) for w, o in zip(words, options, strict=True)])
+
+
+def with_words(records: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """Records with ``name_words``: folded words of the name, digits that stand for letters read as letters, words and runs
+    of ``dictionary`` replaced. Only names with a letter of an Indic script meet the dictionary: its tokens are of those."""
+    d = records.withColumn("name_words", _words())
+    if dictionary is None:
+        return d
+    other = F.col("name").rlike(INDIC)
+    plain, rest = d.filter(~F.coalesce(other, F.lit(False))), records.filter(other)
+    return plain.unionByName(rest.join(_translated(rest, dictionary).withColumnRenamed("words", "name_words"), "id", "left"))
+
+
 def name_tokens(records: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """(id, token, position): folded words, phrases and words of ``dictionary`` (token, latin) replaced, digits that
-    stand for letters read as letters, words without identity left out. Positions count all words. The dictionary is
-    joined by token; only its phrases (bounded by their distinct number, checked by AQE) reach a UDF."""
-    words = X.tokens(X.fold(F.col("name")))
-    base = records.select("id", words.alias("words"))
-    if dictionary is not None:
-        phrases = dict(dictionary.filter(F.col("token").contains(" ")).select("token", "latin").limit(100_000).collect())
-        if phrases:
-            base = base.select("id", replace_phrases(phrases)("words").alias("words"))
-    t = base.select("id", F.posexplode("words").alias("position", "token")).withColumn("token", X.unglyph(F.col("token")))
-    if dictionary is not None:
-        single = dictionary.filter(~F.col("token").contains(" ")).select("token", "latin")
-        t = t.join(single, "token", "left").withColumn("token", F.coalesce("latin", "token"))
-    return t.filter(X.meaningful(F.col("token"))).select("id", "token", "position")
-
-
-def replace_phrases(phrases: dict[str, str]):
-    """Runs of words replaced by one word, longest first from the left."""
-    by_first: dict[str, list[tuple[list[str], str]]] = {}
-    for run, latin in phrases.items():
-        by_first.setdefault(run.split(" ")[0], []).append((run.split(" "), latin))
-    for options in by_first.values():
-        options.sort(key=lambda o: -len(o[0]))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def replaced(col):
-        def one(words):
-            out, i, words = [], 0, list(words)
-            while i < len(words):
-                hit = next((o for o in by_first.get(words[i], ()) if words[i : i + len(o[0])] == o[0]), None)
-                out.append(hit[1] if hit else words[i])
-                i += len(hit[0]) if hit else 1
-            return out
-
-        return col.map(one)
-
-    return replaced
-
-
-def name_features(tokens: DataFrame) -> DataFrame:
-    """(id, core, compact): sorted distinct tokens, and all tokens in order run together."""
-    g = tokens.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("set"), F.array_sort(F.collect_list(F.struct("position", "token"))).alias("seq"))
-    return g.select("id", F.array_join("set", " ").alias("core"), F.array_join(F.transform("seq", lambda s: s["token"]), "").alias("compact"))
-
-
-def address_features(records: DataFrame) -> DataFrame:
-    """(id, numbers, words, house, street): street is the longest word until frequencies are known."""
-    a = X.fold(F.col("address"))
-    d = records.select("id", X.numbers(a).alias("numbers"), X.street_words(a).alias("every"))
-    return d.select("id", "numbers", F.slice("every", 1, 6).alias("words"), F.get("numbers", F.lit(0)).alias("house"), X.longest(F.col("every")).alias("street"))
+    """(id, token, position): the name's words without those that carry no identity; positions count all words."""
+    return with_words(records, dictionary).select("id", F.posexplode("name_words").alias("position", "token")).filter(X.meaningful(F.col("token"))).select("id", "token", "position")
+
+
+def with_fields(records: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """Records with core (sorted distinct tokens), compact (all tokens in order run together; both null of no token), numbers,
+    words, house and street (the longest word until frequencies are known). All are functions of the row."""
+    tokens = F.filter("name_words", X.meaningful)
+    some = F.size("wl_t") > 0
+    d = with_words(records, dictionary).withColumns({"wl_t": F.coalesce(tokens, F.array().cast("array<string>")), "wl_a": X.fold(F.col("address"))})
+    d = d.withColumns({"numbers": X.numbers(F.col("wl_a")), "wl_every": X.street_words(F.col("wl_a"))})
+    return d.withColumns({
+        "core": F.when(some, F.array_join(F.array_sort(F.array_distinct("wl_t")), " ")), "compact": F.when(some, F.array_join("wl_t", "")),
+        "words": F.slice("wl_every", 1, 6), "house": F.get("numbers", F.lit(0)), "street": X.longest(F.col("wl_every")),
+    }).drop("name_words", "wl_t", "wl_a", "wl_every")
 
 
 def frequent_words(records: DataFrame, share: float = 0.002) -> DataFrame:
@@ -72,15 +88,18 @@ def frequent_words(records: DataFrame, share: float = 0.002) -> DataFrame:
 
 
 def refine_street(records: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The street as the longest of the words that isn't frequent, the first of equals; null of none."""
-    w = records.select("id", "country", F.posexplode("words").alias("pos", "word")).join(frequent, ["country", "word"], "left_anti")
-    best = w.groupBy("id").agg(F.max_by("word", F.struct(F.length("word"), -F.col("pos"))).alias("street"))
-    return records.drop("street").join(best, "id", "left")
+    """The street as the longest of the words that isn't frequent, the first of equals; null of none. A word is frequent in
+    at least a share of a country's records, so a country has at most the words of a record by that share of them: the
+    lists are broadcast."""
+    lists = frequent.groupBy("country").agg(F.collect_list("word").alias("wl_frequent"))
+    d = records.drop("street").join(F.broadcast(lists), "country", "left")
+    rest = F.filter("words", lambda w: ~F.coalesce(F.array_contains("wl_frequent", w), F.lit(False)))
+    return d.withColumn("street", X.longest(rest)).drop("wl_frequent")
 
 
 def normalise(records: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Records (id, source, country, name, address) with core, compact, numbers, words, house and refined street."""
-    base = records.join(name_features(name_tokens(records, dictionary)), "id", "left").join(address_features(records), "id", "left")
+    base = with_fields(records, dictionary)
     return refine_street(base, frequent_words(base))
 
 

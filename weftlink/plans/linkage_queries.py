@@ -135,10 +135,11 @@ g AS (SELECT DISTINCT country, text, p[i:i + 2] AS g FROM (SELECT country, text,
 n AS (SELECT country, count(*) AS n FROM r GROUP BY 1), idf AS (SELECT country, g, ln((n + 1) / (count(*) + 1)) + 1 AS w FROM g JOIN n USING (country) GROUP BY country, g, n),
 gw AS (SELECT country, text, g, w, sum(w * w) OVER (PARTITION BY country, text) AS nn FROM g JOIN idf USING (country, g)),
 c AS (SELECT a.country, a.text AS x, b.text AS y, round(sum(a.w * b.w) / (sqrt(any_value(a.nn)) * sqrt(any_value(b.nn))), 6) AS cos FROM gw a JOIN gw b USING (country, g) GROUP BY 1, 2, 3)
-SELECT q.id AS s23, round(list_sort(list(cos), 'DESC')[1], 6) AS cos, round(coalesce(list_sort(list(cos), 'DESC')[2], 0), 6) AS cos_next FROM q JOIN c ON c.country = q.country AND c.x = q.text GROUP BY q.id""")
+SELECT s23, s1, rank, cos, nxt AS cos_next, round(cos - nxt, 6) AS gap FROM (SELECT *, coalesce(lead(cos) OVER (PARTITION BY s23 ORDER BY cos DESC, s1), 0) AS nxt, row_number() OVER (PARTITION BY s23 ORDER BY cos DESC, s1) AS rank
+  FROM (SELECT q.id AS s23, r.id AS s1, cos FROM q JOIN c ON c.country = q.country AND c.x = q.text JOIN r ON r.country = c.country AND r.text = c.y)) WHERE rank <= 2""")
 def trigram_top2(spark: SparkSession, d: str) -> DataFrame:
     r, q = _supplier_like(spark, d)
-    return R.trigram_top(r, q, 1).select("s23", "cos", "cos_next")
+    return R.trigram_top(r, q, 2)
 
 
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
@@ -316,6 +317,12 @@ def soft_overlap(spark: SparkSession, d: str) -> DataFrame:
     return P.soft_overlap(s, x.records)
 
 
+@query()
+def soft_overlap_address(spark: SparkSession, d: str) -> DataFrame:
+    x, s = scored(spark, d)
+    return P.soft_overlap(s, x.records, "address")
+
+
 @query()
 def pair_features(spark: SparkSession, d: str) -> DataFrame:
     x, s = scored(spark, d)
@@ -333,18 +340,139 @@ def edit_features(spark: SparkSession, d: str) -> DataFrame:
     return e.select("s1", "s23", "name_lev", F.round("name_norm", 6).alias("name_norm"), "len_diff", F.round("addr_norm", 6).alias("addr_norm"), "house_offset", "nums_a_only")
 
 
+# Keys over letters that both engines fold alike: fields are cut down to ASCII first.
+_ASCII = r"""fa AS (SELECT id, source, regexp_replace(strip_accents(lower(name)), '[^ -~]', '', 'g') AS n, regexp_replace(strip_accents(lower(address)), '[^ -~]', '', 'g') AS a FROM records),
+gr AS (SELECT id, source, f, list_distinct(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) AS g FROM (SELECT id, source, unnest(['n', 'a']) AS f, ' ' || regexp_replace(unnest([n, a]), '\s+', ' ', 'g') || ' ' AS t FROM fa)),
+wd AS (SELECT id, source, list_distinct(list_filter(string_split(n, ' '), lambda w: w <> '')) AS n, list_distinct(list_filter(string_split(a, ' '), lambda w: w <> '')) AS a FROM fa)"""
+_LESS = "list_filter({a}, lambda w: NOT list_contains({b}, w))"
+
+
+def _ascii(records: DataFrame) -> DataFrame:
+    return records.select("id", "source", *[F.regexp_replace(X.fold(F.col(c)), "[^ -~]", "").alias(c) for c in ("name", "address")])
+
+
+@query(f"""WITH {_SC}, {_ASCII} SELECT s1, s23, unnest(list_concat(list_transform({_LESS.format(a='x.g', b='y.g')}, lambda w: x.f || '1' || w), list_transform({_LESS.format(a='y.g', b='x.g')}, lambda w: x.f || '2' || w))) AS key
+FROM sc JOIN gr x ON x.id = s1 AND x.source = 1 JOIN gr y ON y.id = s23 AND y.source <> 1 AND y.f = x.f""")
+def one_side_keys(spark: SparkSession, d: str) -> DataFrame:
+    x, s = scored(spark, d)
+    return P.one_side_keys(s, _ascii(x.records))
+
+
 @query()
 def one_side_grams(spark: SparkSession, d: str) -> DataFrame:
     x, s = scored(spark, d)
     return P.one_side_grams(s, x.records)
 
 
+def _crossed_sql(c: str, table: str = "wd", on: str = "") -> str:
+    a, b = _LESS.format(a=f"x.{c}", b=f"y.{c}"), _LESS.format(a=f"y.{c}", b=f"x.{c}")
+    return f"""WITH {_SC}, {_ASCII}, o AS (SELECT s1, s23, {a} AS p, {b} AS q FROM sc JOIN {table} x ON x.id = s1 AND x.source = 1 JOIN {table} y ON y.id = s23 AND y.source <> 1{on}),
+single AS (SELECT s1, s23, 'a' || unnest(p) AS key FROM o UNION ALL SELECT s1, s23, 'b' || unnest(q) FROM o), few AS (SELECT s1, s23, unnest(p) AS u, q FROM o WHERE len(p) * len(q) <= 64)
+SELECT * FROM single UNION ALL SELECT s1, s23, 'x' || u || '|' || v FROM (SELECT s1, s23, u, unnest(q) AS v FROM few)"""
+
+
+for _block, _sql in (("name_words", _crossed_sql("n")), ("addr_words", _crossed_sql("a")), ("name_grams", _crossed_sql("g", "gr", " AND x.f = 'n' AND y.f = 'n'"))):
+
+    def _crossed(spark: SparkSession, d: str, block=_block) -> DataFrame:
+        x, s = scored(spark, d)
+        return P.crossed_keys(s, _ascii(x.records), block)
+
+    QUERIES[f"crossed_{_block}"], SQL[f"crossed_{_block}"] = _crossed, _sql
+
+
 @query()
 def crossed_words(spark: SparkSession, d: str) -> DataFrame:
     x, s = scored(spark, d)
     return P.crossed_words(s, x.records)
 
 
+@query(f"""WITH {_SC}, {_ASCII}, ww AS (SELECT id, source, unnest(n) AS w FROM wd), idf AS (SELECT w, ln((SELECT count(*) FROM records) / count(*)) AS idf FROM ww GROUP BY 1),
+u AS (SELECT s1, s23, w, 1 AS side FROM sc JOIN ww ON ww.id = s1 AND ww.source = 1 UNION ALL SELECT s1, s23, w, 2 FROM sc JOIN ww ON ww.id = s23 AND ww.source <> 1), p AS (SELECT s1, s23, w, sum(side) AS i FROM u GROUP BY 1, 2, 3),
+g AS (SELECT s1, s23, sum(idf) FILTER (i = 3) AS sh, sum(idf) FILTER (i = 1) AS a, sum(idf) FILTER (i = 2) AS b, max(idf) FILTER (i = 1) AS am, max(idf) FILTER (i = 2) AS bm, count(*) FILTER (i = 1) AS an, count(*) FILTER (i = 2) AS bn FROM p JOIN idf USING (w) GROUP BY 1, 2)
+SELECT sc.s1, sc.s23, round(coalesce(sh, 0), 6) AS w_shared_idf, round(coalesce(a, 0), 6) AS w_a_idf, round(coalesce(b, 0), 6) AS w_b_idf, round(coalesce(am, 0), 6) AS w_a_max, round(coalesce(bm, 0), 6) AS w_b_max, coalesce(an, 0) AS w_a_n, coalesce(bn, 0) AS w_b_n
+FROM sc LEFT JOIN g ON g.s1 = sc.s1 AND g.s23 = sc.s23""")
+def word_weights(spark: SparkSession, d: str) -> DataFrame:
+    x, s = scored(spark, d)
+    w = P.word_weights(s, _ascii(x.records))
+    return w.withColumns({c: F.round(c, 6) for c in ("w_shared_idf", "w_a_idf", "w_b_idf", "w_a_max", "w_b_max")})
+
+
+@query()
+def word_features(spark: SparkSession, d: str) -> DataFrame:
+    x, s = scored(spark, d)
+    return P.word_features(s, x.records)
+
+
+def _staged(spark: SparkSession, d: str) -> DataFrame:
+    """Scores with the noisy record's source."""
+    x, s = scored(spark, d)
+    return s.join(x.records.filter("source <> 1").select(F.col("id").alias("s23"), (F.col("source") == 3).alias("is_s3")), "s23")
+
+
+@query(f"""WITH {_SC}, o AS (SELECT sc.*, source = 3 AS is_s3, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, s23) AS r1, row_number() OVER (PARTITION BY s23 ORDER BY p DESC, s1) AS r2 FROM sc JOIN records r ON r.id = s23 AND r.source <> 1),
+m AS (SELECT *, max(p) OVER a AS m1, max(CASE WHEN r1 = 2 THEN p END) OVER a AS n1, sum(p) OVER a AS t1, count(*) FILTER (p >= 0.5) OVER a AS c1, max(p) FILTER (NOT is_s3) OVER a AS x2, max(p) FILTER (is_s3) OVER a AS x3,
+  coalesce(CASE WHEN r2 = 1 THEN max(CASE WHEN r2 = 2 THEN p END) OVER b ELSE max(p) OVER b END, 0) AS po, sum(p) OVER b AS t2 FROM o WINDOW a AS (PARTITION BY s1), b AS (PARTITION BY s23))
+SELECT s1, s23, CAST(p AS DOUBLE) AS p, r1 AS p_rank, CAST(m1 AS DOUBLE) AS p_s1_max, CAST(n1 AS DOUBLE) AS p_s1_second, round(t1, 6) AS p_s1_sum, c1 AS p_s1_n50, CAST(x2 AS DOUBLE) AS p_s2_max, CAST(x3 AS DOUBLE) AS p_s3_max, CAST(po AS DOUBLE) AS p_other_s1,
+  round(t2 - p, 6) AS p_other_sum, round(p - po, 6) AS p_margin, round(p / nullif(m1, 0), 6) AS p_ratio, CAST(CASE WHEN r1 = 1 THEN n1 ELSE m1 END AS DOUBLE) AS p_s1_other FROM m""")
+def stack_frame(spark: SparkSession, d: str) -> DataFrame:
+    f = P.stack_frame(_staged(spark, d))
+    return f.withColumns({c: F.round(c, 6) for c in ("p_s1_sum", "p_other_sum", "p_margin", "p_ratio")})
+
+
+_BASE_SQL = """b1 AS (SELECT s1, max(p) AS m, count(*) FILTER (p >= 0.5) AS c FROM sc GROUP BY 1), b2 AS (SELECT s23, max(p) AS m, count(*) FILTER (p >= 0.5) AS c FROM sc GROUP BY 1)"""
+_BASE_COLS = "CAST(b1.m AS DOUBLE) AS base_s1_max, b1.c AS base_s1_n50, CAST(b2.m AS DOUBLE) AS base_s23_max, b2.c AS base_s23_n50, coalesce(b2.m >= 0.5, false) AS s23_taken"
+
+
+@query(f"""WITH {_SC}, sure AS (SELECT s1, s23, p FROM sc WHERE p >= 0.5), r AS (SELECT * FROM norm WHERE source <> 1), k AS (SELECT id, country, 'core' AS kind, core AS key FROM r WHERE core <> '' UNION ALL SELECT id, country, 'house_street', house || '|' || street FROM r WHERE house IS NOT NULL AND street IS NOT NULL
+  UNION ALL SELECT id, country, 'first_house', split_part(core, ' ', 1) || '|' || coalesce(house, '') FROM r WHERE core <> ''),
+ok AS (SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY country, kind, key) BETWEEN 2 AND 20),
+f AS (SELECT sure.s1, b.id AS s23, p FROM sure JOIN ok a ON a.id = sure.s23 JOIN ok b USING (country, kind, key) WHERE a.id <> b.id), sib AS (SELECT s1, s23, max(p) AS sib_p, count(*) AS sib_n FROM f GROUP BY 1, 2), {_BASE_SQL}
+SELECT sib.s1, sib.s23, CAST(sib_p AS DOUBLE) AS sib_p, sib_n, {_BASE_COLS}, round(sib_p / nullif(b1.m, 0), 6) AS sib_ratio FROM sib LEFT JOIN b1 ON b1.s1 = sib.s1 LEFT JOIN b2 ON b2.s23 = sib.s23 WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.s1 = sib.s1 AND sc.s23 = sib.s23)""")
+def sibling_features(spark: SparkSession, d: str) -> DataFrame:
+    """Siblings of confident pairs, none of them scored before, with the columns of their round."""
+    x, s = scored(spark, d)
+    f = P.with_base(B.siblings(s.filter("p >= 0.5").select("s1", "s23", "p"), x.records, s), s)
+    return f.select("s1", "s23", "sib_p", "sib_n", "base_s1_max", "base_s1_n50", "base_s23_max", "base_s23_n50", "s23_taken", F.round("sib_ratio", 6).alias("sib_ratio"))
+
+
+@query(f"""WITH {_SC}, r AS (SELECT id, source, country, list_sort(list_distinct(string_split(core, ' '))) AS t FROM norm
+  WHERE core <> '' AND (source = 1 OR (coalesce(len(numbers), 0) = 0 AND coalesce(len(words), 0) = 0))), two AS (SELECT id, source, country, a || ' ' || b AS key FROM (SELECT *, unnest(t) AS a FROM r WHERE len(t) <= 6) x, unnest(x.t) AS u(b) WHERE b > a),
+n AS (SELECT country, key, count(*) FILTER (source = 1) AS n1, count(*) FILTER (source <> 1) AS n2 FROM two GROUP BY 1, 2 HAVING n1 BETWEEN 1 AND 10 AND n2 BETWEEN 1 AND 30),
+np AS (SELECT a.id AS s1, b.id AS s23, count(*) AS np_keys, min(n1) AS np_n1, min(n2) AS np_n2 FROM n JOIN two a USING (country, key) JOIN two b USING (country, key) WHERE a.source = 1 AND b.source <> 1 GROUP BY 1, 2), half AS (SELECT * FROM sc WHERE p >= 0.9), {_BASE_SQL}
+SELECT np.*, {_BASE_COLS} FROM np LEFT JOIN b1 ON b1.s1 = np.s1 LEFT JOIN b2 ON b2.s23 = np.s23 WHERE NOT EXISTS (SELECT 1 FROM half WHERE half.s1 = np.s1 AND half.s23 = np.s23)""")
+def name_pair_features(spark: SparkSession, d: str) -> DataFrame:
+    """Name pairs but for the pairs known at 0.9, with the columns of their round."""
+    x, s = scored(spark, d)
+    return P.with_base(B.name_pairs(x.records, s.filter("p >= 0.9")), s)
+
+
+@query(rf"""WITH {NORMALISED_SQL}, t AS (SELECT id, source, encode(coalesce(core, '') || ' | ' || array_to_string(coalesce(words, []), ' ') || ' ' || array_to_string(coalesce(numbers, []), ' ')) AS b FROM norm)
+SELECT id, source, lower(rpad(substr(hex(b), 1, 192), 192, '0')) AS bytes FROM t""")
+def text_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return P.text_bytes(normalised(spark, d).records).withColumn("bytes", F.lower(F.hex("bytes")))
+
+
+@query(f"""WITH {_UNION}, t AS (SELECT pairs.*, truth.s1 IS NOT NULL AS hit FROM pairs LEFT JOIN truth ON truth.s1 = pairs.s1 AND truth.s23 = pairs.s23) """
+       + " UNION ALL ".join(f"SELECT CAST({i + 1} AS INTEGER) AS step, '{f.name}' AS family, count(*) FILTER ({' OR '.join('f_' + g.name for g in B.FAMILIES[: i + 1])}) AS pairs, count(*) FILTER (hit AND ({' OR '.join('f_' + g.name for g in B.FAMILIES[: i + 1])})) AS found FROM t" for i, f in enumerate(B.FAMILIES)))
+def union_growth(spark: SparkSession, d: str) -> DataFrame:
+    x, pairs = _pairs(spark, d)
+    return B.union_growth(pairs, x.truth)
+
+
+def _reach_sql() -> str:
+    one = {"token": "tokens", "number": "key_numbers", "word": "words", "rare": "rare"}
+    rows = []
+    for f in B.FAMILIES:
+        shared = " AND ".join(f"len(list_intersect(a.{one[p]}, b.{one[p]})) > 0" if p in one else f"a.{p} = b.{p}" for p in f.parts)
+        rows.append(f"SELECT '{f.name}' AS family, count(*) AS links, count(*) FILTER ({shared}) AS reached FROM l JOIN parts a ON a.id = l.s1 AND a.source = 1 JOIN parts b ON b.id = l.s23 AND b.source <> 1")
+    return f"WITH {PARTS_SQL}, l AS (SELECT DISTINCT s1, s23 FROM truth) " + " UNION ALL ".join(rows)
+
+
+@query()
+def uncapped_reach(spark: SparkSession, d: str) -> DataFrame:
+    return B.uncapped_reach(_parts(spark, d), normalised(spark, d).truth)
+
+
 @query()
 def noisy_channel(spark: SparkSession, d: str) -> DataFrame:
     x = linkage(spark, d)
