@@ -97,9 +97,10 @@ def _best_count(p: np.ndarray, lam: float, worlds: int = 60) -> int:
     return at
 
 
-def choose(band: DataFrame, outside: dict[str, float], top: int = 16, low: float = 0.02, high: float = 0.98) -> DataFrame:
+def choose(band: DataFrame, outside: dict[str, float], top: int = 16, low: float = 0.02, high: float = 0.98, elsewhere: float = 0.1) -> DataFrame:
     """Links (s1, s23) of ``band`` (s1, s23, country, x) that maximise each record's expected F0.5. Records whose
-    candidates all lie outside [low, high] keep those at 0.5 and over; the others consider their ``top`` best."""
+    candidates all lie outside [low, high] keep those at 0.5 and over; the others consider their ``top`` best. ``outside``:
+    mean number of true links beside the band by country; ``elsewhere``: that of the other countries."""
     w = Window.partitionBy("s1")
     d = band.withColumn("unsure", F.bool_or(F.col("x").between(low, high)).over(w))
     sure = d.filter(~F.col("unsure") & (F.col("x") >= 0.5)).select("s1", "s23")
@@ -108,7 +109,7 @@ def choose(band: DataFrame, outside: dict[str, float], top: int = 16, low: float
 
     @F.pandas_udf("int")
     def count(country: pd.Series, xs: pd.Series) -> pd.Series:
-        return pd.Series([_best_count(np.asarray(x, float), outside.get(c, 0.1)) for c, x in zip(country, xs, strict=True)], dtype="int32")
+        return pd.Series([_best_count(np.asarray(x, float), outside.get(c, elsewhere)) for c, x in zip(country, xs, strict=True)], dtype="int32")
 
     kept = lists.withColumn("k", count("country", F.transform("c", lambda s: s["x"])))
     return sure.unionByName(kept.select("s1", F.explode(F.slice("c", F.lit(1), F.col("k"))).alias("l")).select("s1", "l.s23"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -11,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.session import portable_bucket, settled
+from weftlink.session import portable_bucket, stored
 
 FOLDS = 5
 
@@ -123,7 +121,7 @@ def rank_auc(scored: DataFrame, score_col: str = "p", label_col: str = "y", rang
     """Area under the ROC curve by average ranks. Distinct scores are counted first and ranked within ``ranges`` of about
     equal size; only the ranges' totals meet in one task."""
     g = scored.filter(F.col(score_col).isNotNull()).groupBy(F.col(score_col).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label_col).cast("long")).alias("good"))
-    g = settled(g, f"ranks {uuid.uuid4().hex}")
+    g = stored(g)
     cuts = sorted(set(g.approxQuantile("s", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
     d = g.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("s"))) if cuts else F.lit(0))
     ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

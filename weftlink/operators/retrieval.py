@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions import text as X
 
 
+SALTS = 4  # strips of queries in the trigram join
+
+
 def trigram_top(reference: DataFrame, queries: DataFrame, k: int = 1, most_df: int = 5000) -> DataFrame:
     """(s23, s1, rank, cos, cos_next, gap): the ``k`` reference texts of a query's country with the largest cosine of
     word-bounded trigrams. IDF is ln((n + 1) / (df + 1)) + 1 over the country's reference texts; norms count all their
     trigrams, products only those in at most ``most_df`` texts. Both tables have id, country, text; null texts are out.
+    Queries are dealt to ``SALTS`` strips and each rare trigram's texts go to all of them, so a trigram that many queries
+    have is no single task's.
     """
     grams = lambda d, name: d.filter("text is not null").select(F.col("id").alias(name), "country", F.explode(X.char_grams(F.col("text"))).alias("g"))
     r, q = grams(reference, "s1"), grams(queries, "s23")
@@ -23,7 +28,10 @@ def trigram_top(reference: DataFrame, queries: DataFrame, k: int = 1, most_df: i
     rn = rw.groupBy("s1").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
     qn = qw.groupBy("s23").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     rare = F.col("df") <= most_df
-    dot = qw.filter(rare).select("s23", "country", "g", "w").join(rw.filter(rare).select("s1", "country", "g", F.col("w").alias("v")), ["country", "g"]).groupBy("s23", "s1").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    salt = F.pmod(F.xxhash64("s23"), F.lit(SALTS)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    asked, held = qw.filter(rare).select("s23", "country", "g", "w", salt), rw.filter(rare).select("s1", "country", "g", F.col("w").alias("v"), every)
+    dot = asked.join(held, ["country", "g", "salt"]).groupBy("s23", "s1").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cos = dot.join(rn, "s1").join(qn, "s23").select("s23", "s1", F.round(F.col("dot") / (F.col("rn") * F.col("qn")), 6).alias("cos"))
     best = Window.partitionBy("s23").orderBy(F.desc("cos"), "s1")
     top = cos.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
@@ -31,29 +39,58 @@ def trigram_top(reference: DataFrame, queries: DataFrame, k: int = 1, most_df: i
     return top.withColumn("cos_next", nxt).filter(F.col("rank") <= k).withColumn("gap", F.round(F.col("cos") - F.col("cos_next"), 6))
 
 
+def _usable(c: str) -> Column:
+    """Vectors whose components are all finite, not all of them zero."""
+    finite = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return F.coalesce(F.col(c).isNotNull() & finite & F.exists(c, lambda v: v != 0), F.lit(False))
+
+
 def dense_top(pool: DataFrame, queries: DataFrame, k: int = 3, block_rows: int = 4096) -> DataFrame:
-    """(s23, rank, s1, cos): the ``k`` most similar pool vectors of each query's group. Both tables have id, grp,
-    vector. The pool is cut to blocks of about ``block_rows``; each query meets each block of its group once, keeps k
-    there, and a window merges them; neither side is collected or broadcast."""
-    sizes = pool.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    p = pool.join(sizes, "grp").select(F.col("grp").alias("pg"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("pb"), F.col("id").alias("pid"), F.col("vector").alias("pv"))
-    q = queries.join(sizes, "grp").select(F.col("grp").alias("qg"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qb"), F.col("id").alias("qid"), F.col("vector").alias("qv"))
+    """(s23, rank, s1, cos): the ``k`` most similar pool vectors of each query's group, of equal ones the least id. Both
+    tables have id, grp, vector; vectors that are null, zero or not finite, and those of null groups, are left out, and
+    vectors of different lengths aren't compared. Pool and queries are cut to blocks of about ``block_rows``; every block
+    of queries meets every block of its group's pool in a square of its own, keeps k there, and a window merges them:
+    the work is that of all pairs of a group, the memory that of two blocks. For a large pool take the multi-index of the
+    vector deduplication; this search is exact."""
+    good = lambda d: d.select("id", F.struct("grp", F.size("vector").alias("dim")).alias("grp"), F.col("vector").cast("array<double>").alias("vector")).filter(F.col("grp.grp").isNotNull() & _usable("vector"))
+    p, q = good(pool), good(queries)
+    blocks = lambda d, name: d.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    sizes = blocks(p, "np").join(blocks(q, "nq"), "grp")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = p.join(sizes, "grp").select("grp", mine("np").alias("pb"), all_of("nq").alias("qb"), F.col("id").alias("pid"), F.col("vector").alias("pv"))
+    q = q.join(sizes, "grp").select("grp", all_of("np").alias("pb"), mine("nq").alias("qb"), F.col("id").alias("qid"), F.col("vector").alias("qv"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"s23": [], "s1": [], "cos": []})
-        unit = lambda s: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.stack(s.to_numpy()).astype(float))
-        x, y = unit(a["pv"]), unit(b["qv"])
-        out = []
+
+        def unit(s: pd.Series) -> np.ndarray:
+            m = np.stack(s.to_numpy()).astype(float)
+            m /= np.abs(m).max(axis=1, keepdims=True)
+            return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+        a = a.sort_values("pid")
+        x, y, out = unit(a["pv"]), unit(b["qv"]), []
+        pid, qid = a["pid"].to_numpy(), b["qid"].to_numpy()
         for lo in range(0, len(y), 1024):
-            c = y[lo : lo + 1024] @ x.T
-            c[b["qid"].to_numpy()[lo : lo + 1024, None] == a["pid"].to_numpy()[None]] = -2
-            top = np.argsort(-c, axis=1, kind="stable")[:, : k + 1]
+            c = np.round(y[lo : lo + 1024] @ x.T, 6)
+            c[qid[lo : lo + 1024, None] == pid[None]] = -2
+            top = np.argsort(-c, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(top)), top.shape[1])
-            out.append(pd.DataFrame({"s23": b["qid"].to_numpy()[lo + rows], "s1": a["pid"].to_numpy()[top.ravel()], "cos": c[rows, top.ravel()]}))
+            out.append(pd.DataFrame({"s23": qid[lo + rows], "s1": pid[top.ravel()], "cos": c[rows, top.ravel()]}))
         d = pd.concat(out)
         return d[d["cos"] > -2]
 
-    found = p.groupBy("pg", "pb").cogroup(q.groupBy("qg", "qb")).applyInPandas(best, "s23 long, s1 long, cos double")
-    found = found.withColumn("cos", F.round("cos", 6))
+    keys = ["grp", "pb", "qb"]
+    found = p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(best, "s23 long, s1 long, cos double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("s23").orderBy(F.desc("cos"), "s1"))).filter(F.col("rank") <= k).select("s23", "rank", "s1", "cos")
+
+
+def frontier_sizes(found: DataFrame, truth: DataFrame, cuts: tuple[float, ...], score: str = "cos") -> DataFrame:
+    """(rank, cut, pairs, true_pairs): the pairs of the first ranks at each cut, and how many of them are links."""
+    hit = found.join(truth.select("s1", "s23").distinct().withColumn("hit", F.lit(1)), ["s1", "s23"], "left")
+    d = hit.withColumn("cut", F.explode(F.array(*[F.lit(float(c)) for c in cuts]))).filter(F.col(score) >= F.col("cut"))
+    d = d.groupBy("cut", "rank").agg(F.count("*").alias("n"), F.count("hit").alias("t"))
+    up = Window.partitionBy("cut").orderBy("rank")  # as many rows as ranks
+    return d.select("rank", "cut", F.sum("n").over(up).alias("pairs"), F.sum("t").over(up).alias("true_pairs"))

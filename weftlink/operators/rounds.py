@@ -14,7 +14,7 @@ from weftlink.functions import text as X
 from weftlink.functions.words import TRADE_FORMS
 from weftlink.operators.decide import f05, one_owner, per_entity
 from weftlink.operators.features import _sides, with_context
-from weftlink.session import div, same
+from weftlink.session import div, portable_bucket, same
 
 LINK = ["s1", "s23"]
 FORMS = "(?U)" + TRADE_FORMS  # word boundaries of all scripts
@@ -158,6 +158,20 @@ def without_outside(pairs: DataFrame, truth: DataFrame, inside: DataFrame) -> Da
     return pairs.join(truth.join(inside.select("s1"), "s1", "left_anti").select("s23").distinct(), "s23", "left_anti")
 
 
+def keep_missed(pairs: DataFrame, truth: DataFrame, inside: DataFrame, linked: DataFrame, records: DataFrame) -> DataFrame:
+    """``pairs`` as in ``without_outside``, but of noisy records owned outside ``inside`` a share stays, chosen by a hash of the
+    record: the country's share of true links of ``inside`` that ``linked`` misses (of a country without any, half)."""
+    place = records.filter("source <> 1").select(F.col("id").alias("s23"), "country")
+    own = truth.select(*LINK).distinct().join(inside.select("s1").distinct(), "s1", "left_semi").join(place, "s23")
+    found = linked.select(*LINK).distinct().withColumn("hit", F.lit(1))
+    miss = own.join(found, LINK, "left").groupBy("country").agg((1 - F.count("hit") / F.count("*")).alias("wl_miss"))
+    owned = truth.join(inside.select("s1"), "s1", "left_anti").select("s23").distinct().withColumn("wl_owned", F.lit(True))
+    d = pairs.join(owned, "s23", "left").join(place.select("s23", F.col("country").alias("wl_country")), "s23", "left")
+    d = d.join(F.broadcast(miss.withColumnRenamed("country", "wl_country")), "wl_country", "left")  # a row per country
+    stays = portable_bucket(1000, F.col("s23"), F.lit("outside")) / 1000 < F.coalesce("wl_miss", F.lit(0.5))
+    return d.filter(F.col("wl_owned").isNull() | stays).select(*pairs.columns)
+
+
 def link_report(links: DataFrame, s1: DataFrame) -> DataFrame:
     """(country, records, linked, links, per_record) over all of ``s1`` (s1, country)."""
     n = links.groupBy("s1").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions import kernels as K
@@ -15,6 +15,7 @@ from weftlink.operators import features as P
 from weftlink.operators import models as M
 from weftlink.operators import normalise as N
 from weftlink.operators import retrieval as R
+from weftlink.operators import rounds as O
 from weftlink.plans.fixture import NORMALISED_SQL, PARTS_SQL, RECORDS_SQL, TOKENS_SQL, family_sql, linkage, normalised
 from weftlink.session import settled
 from weftlink.sources import tables as S
@@ -283,10 +284,12 @@ def expected_f(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_SC}, o AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, s23) AS rank_s1, row_number() OVER (PARTITION BY s23 ORDER BY p DESC, s1) AS rank_s23 FROM sc)
 SELECT s1, s23, rank_s1, rank_s23, CAST(max(p) OVER a AS DOUBLE) AS p_s1_max, CAST(max(CASE WHEN rank_s1 = 2 THEN p END) OVER a AS DOUBLE) AS p_s1_second, count(*) FILTER (p >= 0.5) OVER a AS n50_s1, round(sum(p) OVER a, 6) AS p_s1_sum,
-  CAST(CASE WHEN rank_s23 = 1 THEN max(CASE WHEN rank_s23 = 2 THEN p END) OVER b ELSE max(p) OVER b END AS DOUBLE) AS other FROM o WINDOW a AS (PARTITION BY s1), b AS (PARTITION BY s23)""")
+  CAST(CASE WHEN rank_s23 = 1 THEN max(CASE WHEN rank_s23 = 2 THEN p END) OVER b ELSE max(p) OVER b END AS DOUBLE) AS other, CAST(max(p) OVER b AS DOUBLE) AS p_s23_max, CAST(max(CASE WHEN rank_s23 = 2 THEN p END) OVER b AS DOUBLE) AS p_s23_second,
+  round(sum(p) OVER b, 6) AS p_s23_sum, count(*) FILTER (p >= 0.5) OVER b AS n50_s23, round(p / nullif(max(p) OVER a, 0), 6) AS ratio, round(p - coalesce(CASE WHEN rank_s23 = 1 THEN max(CASE WHEN rank_s23 = 2 THEN p END) OVER b ELSE max(p) OVER b END, 0), 6) AS margin
+FROM o WINDOW a AS (PARTITION BY s1), b AS (PARTITION BY s23)""")
 def score_context(spark: SparkSession, d: str) -> DataFrame:
     c = P.score_context(scored(spark, d)[1].select("s1", "s23", "p"))
-    return c.select("s1", "s23", "rank_s1", "rank_s23", "p_s1_max", "p_s1_second", "n50_s1", F.round("p_s1_sum", 6).alias("p_s1_sum"), "other")
+    return c.drop("p").withColumns({n: F.round(n, 6) for n in ("p_s1_sum", "p_s23_sum", "ratio", "margin")})
 
 
 @query(f"""WITH {_SC}, c AS (SELECT s1, s23, p FROM sc WHERE p >= 0.01), j AS (SELECT c.s1, c.s23, o.p AS op, a.house IS NOT NULL AND b.house IS NOT NULL AND a.house = b.house AS eq, coalesce(a.street = b.street, false) AS st,
@@ -499,11 +502,36 @@ def ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
     return j.select("a", "b", K.ratio_of(a, b).alias("ratio"), K.partial_ratio_of(a, b).alias("partial"), K.token_set_of(a, b).alias("token_set"), K.token_sort_of(a, b).alias("token_sort"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT r.id AS s1, coalesce(string_agg(CAST(s23 AS VARCHAR), ',' ORDER BY CAST(s23 AS VARCHAR)), '') AS matched_entity_ids FROM records r LEFT JOIN truth ON truth.s1 = r.id WHERE r.source = 1 GROUP BY 1")
+@query(f"WITH {RECORDS_SQL}, l AS (SELECT s1, s23 FROM truth UNION SELECT s1, s1 + 7 FROM truth) SELECT r.id AS s1, coalesce(string_agg(CAST(s23 AS VARCHAR), ',' ORDER BY CAST(s23 AS VARCHAR)), '') AS matched_entity_ids FROM records r LEFT JOIN l ON l.s1 = r.id WHERE r.source = 1 GROUP BY 1")
 def id_lists(spark: SparkSession, d: str) -> DataFrame:
+    """True links as lists, read back, and merged with one more id of every record that has any."""
     x = linkage(spark, d)
     lists = S.id_lists(x.s1.select(F.col("id").alias("s1")), x.truth)
-    return S.merge_links(lists, S.links_of(lists))
+    more = S.links_of(lists).select(F.col("s1").cast("long").alias("s1"), (F.col("s1") + 7).alias("s23")).distinct()
+    return S.merge_links(lists, more)
+
+
+@query(f"WITH {RECORDS_SQL}, r AS (SELECT id AS s1, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR))) AS position FROM records WHERE source = 1) SELECT s1, row_number() OVER (ORDER BY position) AS place, CASE WHEN s1 % 3 = 0 THEN 'new' ELSE 'old' END AS ids FROM r WHERE s1 % 5 <> 0")
+def replaced_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of a base file with every third record's replaced, in the base's order."""
+    r = linkage(spark, d).s1.select(F.col("id").alias("s1")).withColumn("position", F.row_number().over(Window.orderBy(F.md5(F.col("s1").cast("string"))))).filter("s1 % 5 <> 0")
+    out = S.replace_lists(r.withColumn("ids", F.lit("old")), r.filter("s1 % 3 = 0").select("s1", F.lit("new").alias("ids")))
+    return out.withColumn("wl_at", F.monotonically_increasing_id()).select("s1", F.row_number().over(Window.orderBy("wl_at")).alias("place"), "ids")
+
+
+@query(f"WITH {RECORDS_SQL} SELECT s1, s23 FROM truth ORDER BY md5('7|' || s1 || '|' || s23), s1, s23 LIMIT 100")
+def sampled_links(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of 100 links: the operator's size."""
+    return S.sample_rows(linkage(spark, d).truth, 100, 7, "s1", "s23")
+
+
+@query(f"""WITH {_SC}, ins AS (SELECT id AS s1 FROM records WHERE source = 1 AND id % 2 = 0), place AS (SELECT id AS s23, country FROM records WHERE source <> 1), own AS (SELECT t.s1, t.s23, country FROM truth t JOIN ins USING (s1) JOIN place USING (s23)),
+lk AS (SELECT DISTINCT s1, s23 FROM sc WHERE p >= 0.9), miss AS (SELECT country, 1 - count(lk.s1) / count(*) AS m FROM own LEFT JOIN lk ON lk.s1 = own.s1 AND lk.s23 = own.s23 GROUP BY 1), ow AS (SELECT DISTINCT s23 FROM truth WHERE s1 NOT IN (SELECT s1 FROM ins))
+SELECT sc.s1, sc.s23 FROM sc JOIN place USING (s23) LEFT JOIN miss ON miss.country = place.country WHERE sc.s23 NOT IN (SELECT s23 FROM ow) OR CAST('0x' || substr(md5(sc.s23 || '|outside'), 1, 8) AS BIGINT) % 1000 / 1000 < coalesce(m, 0.5)""")
+def kept_at_miss_rate(spark: SparkSession, d: str) -> DataFrame:
+    x, s = scored(spark, d)
+    inside = x.s1.filter("id % 2 = 0").select(F.col("id").alias("s1"))
+    return O.keep_missed(s.select("s1", "s23"), x.truth, inside, s.filter("p >= 0.9"), x.records)
 
 
 FEATURES = ["name_ratio", "name_partial", "name_jw", "core_tset", "addr_ratio", "addr_tset", "house_edit", "core_eq", "house_eq", "house_in", "token_overlap", "number_overlap", "word_overlap", "street_eq", "name_rank", "addr_rank", "name_gap", "addr_gap", "other_name_gap"]

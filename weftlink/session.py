@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,17 +34,52 @@ def portable_bucket(n: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("long") % n
 
 
-_KEPT: dict[tuple[str, str], str] = {}
+_KEPT: dict[tuple[str, str], tuple[str, str]] = {}
+_OWN: list[str] = []
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a
+    folder of its own, removed at exit; on a cluster that is an error, since executors would write to their own disks."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="weftlink-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return "file://" + _OWN[0]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: no lineage hangs on executors."""
+    path = f"{work_dir(df.sparkSession)}/weftlink-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(df: DataFrame, key: str) -> DataFrame:
-    """``df`` written once per application under ``key`` and read back: later queries reuse the table, and no lineage
-    hangs on executors. The folder is ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """``df`` written once per application and reused: by ``key`` and by the plan, which names the files that are read with
+    their sizes and times. So changed files, or another ``df`` under the key, give a new table."""
     spark = df.sparkSession
     name = (spark.sparkContext.applicationId, key)
-    if name not in _KEPT:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftlink-")
-        path = f"{folder.rstrip('/')}/weftlink-{uuid.uuid4().hex}"
+    plan = _plan_of(df)
+    held = _KEPT.get(name)
+    if held is None or held[0] != plan:
+        path = f"{work_dir(spark)}/weftlink-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        _KEPT[name] = path
-    return spark.read.schema(df.schema).parquet(_KEPT[name])
+        _KEPT[name] = held = plan, path
+    return spark.read.schema(df.schema).parquet(held[1])
+
+
+def _plan_of(df: DataFrame) -> str:
+    """What a DataFrame computes: its canonical plan and the state of its input files."""
+    jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    found = sorted(df.inputFiles())
+    files = [f"{len(found)} {found[-1:]}"]
+    for f in found[:1000]:  # of more, names and number tell
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(hadoop).getFileStatus(path)
+        files.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    return f"{df._jdf.queryExecution().analyzed().canonicalized().hashCode()} " + "\n".join(files)

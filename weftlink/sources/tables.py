@@ -53,6 +53,24 @@ def merge_links(lists: DataFrame, added: DataFrame, name: str = "matched_entity_
     return id_lists(lists, links_of(lists, name).unionByName(added.select("s1", F.col("s23").cast("string"))).distinct(), name)
 
 
+def in_order_of(rows: DataFrame, base: DataFrame, key: str = "s1", order: str = "position") -> DataFrame:
+    """``rows`` in the order that ``base`` (key, position) has, those it lacks at the end by key: for files that are rewritten
+    and keep their rows' order."""
+    return rows.join(base.select(key, F.col(order).alias("wl_at")), key, "left").orderBy(F.col("wl_at").asc_nulls_last(), key).drop("wl_at")
+
+
+def replace_lists(base: DataFrame, new: DataFrame, key: str = "s1", order: str = "position") -> DataFrame:
+    """``base`` lists (key, position, list) with those of ``new`` (key, list) in their place, in the base's order."""
+    kept = base.join(new.select(key), key, "left_anti").drop(order)
+    return in_order_of(kept.unionByName(new.select(*kept.columns)), base, key, order)
+
+
+def sample_rows(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer), the same for a seed whatever the partitioning: the first by a hash of seed
+    and key."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *key)), *key).limit(n)
+
+
 def write_id_lists(lists: DataFrame, path: str) -> None:
     """A folder of tab-separated files, each with a header; as many as the table has partitions."""
     lists.withColumnRenamed("s1", "source1_entity_id").write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", True).option("emptyValue", "").csv(path)
