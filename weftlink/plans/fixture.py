@@ -31,7 +31,9 @@ class Linkage:
 
 
 def documents_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "lang", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)).alias("t"))
+    # the fields end with the 14th word, so the text is cut no further; a first piece before a mark is empty
+    words = F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", 16), lambda w: w != ""), 1, 14)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "lang", words.alias("t"))
     country = F.when(F.col("lang") == "en", "US").when(F.col("lang") == "es", "India").otherwise("France")
     address = lambda n: F.concat(n.cast("string"), F.lit(" "), F.array_join(F.slice("t", 7, 8), " "))
     return d.select("doc_id", country.alias("country"), F.array_join(F.slice("t", 1, 6), " ").alias("name"), address(F.col("n_chars")).alias("address"), address(F.col("n_chars") + 1).alias("decoy"))

@@ -69,6 +69,11 @@ def settled(df: DataFrame, key: str) -> DataFrame:
     if held is None or held[0] != plan:
         path = f"{work_dir(spark)}/weftlink-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        tasks = spark.sparkContext.defaultParallelism
+        few = spark.read.schema(df.schema).parquet(path)
+        if few.rdd.getNumPartitions() < tasks:  # a small table in a file or two would keep one core busy
+            path += "-dealt"
+            few.repartition(tasks).write.parquet(path)
         _KEPT[name] = held = plan, path
     return spark.read.schema(df.schema).parquet(held[1])
 
