@@ -234,9 +234,10 @@ def quality_scores(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3,
     The score is a function of the whole text alone: null and empty texts get that of an empty text. Repeated rows and
     null ids are scored as any other; an empty table gives an empty table.
     """
-    s = with_statistics(docs, id_col, text_col)
+    d = docs.select(F.col(id_col).alias("wl_key"), F.col(text_col).alias("wl_body"))  # the id may be named as a statistic
+    s = with_statistics(d, "wl_key", "wl_body")
     score = model.column()
-    return s.select(id_col, held_out(id_col).alias("held_out"), score.alias("score"), F.when(score >= threshold, 1).otherwise(0).alias("predicted"))
+    return s.select(F.col("wl_key").alias(id_col), held_out("wl_key").alias("held_out"), score.alias("score"), F.when(score >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -260,7 +260,11 @@ def piece_codec(docs: DataFrame, model: bytes, verify: bool = True, whole: bool
 
 
 def decode_ids(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(``id_col``, text): the texts of stored ids; null ids count as none."""
+    """(``id_col``, text), one row per input row: the texts of stored ids (little-endian unsigned 32-bit integers).
+
+    Null and empty id lists give the empty text, bytes that are no UTF-8 the replacement character. Repeated rows and null
+    keys pass through, other columns are left behind; an empty table gives an empty table.
+    """
 
     def run(batches):
         codec = PieceCodec(model)
