@@ -99,15 +99,20 @@ class Encoder:
         off = pieces.offsets.to_numpy().astype(np.int64)
         flat, off = pieces.flatten(), off - off[0]
         table = flat.dictionary_encode()
-        code = table.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = table.indices.to_numpy(zero_copy_only=False).copy()
         every, size = self._behind_space(table.dictionary.to_pylist())
         heads = self._ids(flat.take(pa.array(off[:-1])).to_pylist())
         code[off[:-1]] = len(size) + np.arange(len(heads))
+        del table, flat
         every = np.concatenate([every, np.frombuffer(b"".join(heads), self.kind)])
         size = np.append(size, [len(x) // self.kind.itemsize for x in heads]).astype(np.int64)
-        start, size = (np.cumsum(size) - size)[code], size[code]
-        cut = (np.concatenate([[0], np.cumsum(size)])[off] * self.kind.itemsize).tolist()
-        ids = every[ranges(start, size)].tobytes()
+        start, cut, parts = np.cumsum(size) - size, [0], []
+        for lo in range(0, len(off) - 1, 256):  # some texts at a time, so that places take little memory
+            mine = code[off[lo] : off[min(lo + 256, len(off) - 1)]]
+            parts.append(every[ranges(start[mine], size[mine])].tobytes())
+            sums = np.concatenate([[0], np.cumsum(size[mine])])[off[lo + 1 : lo + 257] - off[lo]]
+            cut += (sums * self.kind.itemsize + cut[-1]).tolist()
+        ids = b"".join(parts)
         return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
