@@ -313,14 +313,27 @@ class Cascade:
         return [c for c, t in pairs.dtypes if c not in KEYS and t in ("boolean", "int", "bigint", "double")]
 
     def rule(self) -> DataFrame:
-        """(partition, threshold, relative, f05): the best rule for the train split's out-of-fold scores."""
-        return self.kept("rule", lambda: D.best_rule(D.tune(self.spark, self.edited("train"), self.s1("train"), self.truth())))
+        """(partition, threshold, relative, f05, pred): the best rule for the train split's out-of-fold scores, and the step whose
+        scores it is for. A refit or edit that gains nothing out of fold, as on little data, is so left out."""
+
+        def make() -> DataFrame:
+            every, s1 = None, self.s1("train")
+            for pred in ("edited", "refit2", "refit", "later"):
+                best = D.best_rule(D.tune(self.spark, getattr(self, pred)("train"), s1, self.truth())).withColumn("pred", F.lit(pred))
+                every = best if every is None else every.unionByName(best)
+            return every.orderBy(F.desc(F.round("f05", 12)), "pred").limit(1)
+
+        return self.kept("rule", make)
+
+    def chosen(self, split: str) -> DataFrame:
+        """The scores that the rule is for."""
+        return getattr(self, self.rule().first().pred)(split)
 
     def base(self, split: str) -> DataFrame:
         """Links by country: the tuned rule, and the strict one where it is set."""
 
         def make() -> DataFrame:
-            best, scores = self.rule().first(), self.edited(split)
+            best, scores = self.rule().first(), self.chosen(split)
             rules = self.spark.createDataFrame([STRICT, (None, best.threshold, best.relative)], "country string, threshold double, relative double")
             links = D.decide_by_country(scores, self.s1(split), rules).select(*R.LINK)
             return links.join(D.decide(scores, 0.0, 0.0, True).select(*R.LINK), R.LINK, "left_semi") if best.partition else links
@@ -333,7 +346,7 @@ class Cascade:
         def make() -> DataFrame:
             base = self.base(split)
             mine = self.s1(split).filter(F.col("country") == STRICT[0]).select("s1")
-            rest = self.edited(split).filter("p >= 0.05").join(mine, "s1", "left_semi").join(base.select("s23").distinct(), "s23", "left_anti")
+            rest = self.chosen(split).filter("p >= 0.05").join(mine, "s1", "left_semi").join(base.select("s23").distinct(), "s23", "left_anti")
             return R.with_links(base, R.rescue(R.rescue_features(rest, self.records(split))))
 
         return self.kept(f"{split}_rescued", make)
@@ -345,7 +358,7 @@ class Cascade:
             r, links = self.records(split), self.rescued(split)
             found = B.address_only_match(r).join(links.select("s23").distinct(), "s23", "left_anti")
             shaped = R.address_shape(found, r).join(self.s1(split).select("s1", "country"), "s1")
-            return R.entity_context(shaped, links, self.edited(split).withColumnRenamed("p", "x"))
+            return R.entity_context(shaped, links, self.chosen(split).withColumnRenamed("p", "x"))
 
         return self.kept(f"{split}_address_only", make)
 
@@ -382,7 +395,7 @@ class Cascade:
 
     def outside(self) -> dict[str, float]:
         """True links of a train record below 0.02 or never scored, on average by country: a row per country."""
-        lost = self.truth().join(self.edited("train").filter(F.col("p") >= BAND).select(*R.LINK), R.LINK, "left_anti")
+        lost = self.truth().join(self.chosen("train").filter(F.col("p") >= BAND).select(*R.LINK), R.LINK, "left_anti")
         report = R.link_report(lost, self.s1("train").join(self.truth().select("s1").distinct(), "s1", "left_semi"))
         return {r.country: float(r.per_record) for r in report.collect()}
 
@@ -390,7 +403,7 @@ class Cascade:
         """``links`` with the rule's replaced by those of the largest expected F0.5 of each record."""
 
         def make() -> DataFrame:
-            x = self.edited(split).filter(F.col("p") >= BAND).withColumn("x", D.odds_shift(F.col("p"), ODDS)).join(self.s1(split).select("s1", "country"), "s1")
+            x = self.chosen(split).filter(F.col("p") >= BAND).withColumn("x", D.odds_shift(F.col("p"), ODDS)).join(self.s1(split).select("s1", "country"), "s1")
             added = self.links(split).join(self.base(split), R.LINK, "left_anti")
             return R.with_links(D.choose(x, self.outside()), added)
 
