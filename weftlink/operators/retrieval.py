@@ -15,28 +15,41 @@ SALTS = 4  # strips of queries in the trigram join
 
 def trigram_top(reference: DataFrame, queries: DataFrame, k: int = 1, most_df: int = 5000) -> DataFrame:
     """(s23, s1, rank, cos, cos_next, gap): the ``k`` reference texts of a query's country with the largest cosine of
-    word-bounded trigrams. IDF is ln((n + 1) / (df + 1)) + 1 over the country's reference texts; norms count all their
-    trigrams, products only those in at most ``most_df`` texts. Both tables have id, country, text; null texts are out.
-    Queries are dealt to ``SALTS`` strips and each rare trigram's texts go to all of them, so a trigram that many queries
-    have is no single task's.
+    word-bounded trigrams, of equal ones the least id. IDF is ln((n + 1) / (df + 1)) + 1 over the country's reference texts;
+    norms count all their trigrams, products only those in at most ``most_df`` texts. Both tables have id, country, text;
+    null texts are out, and ids are unique in a table.
+    Equal texts of a country are compared once and their ids joined to the outcome. Queries are dealt to ``SALTS`` strips
+    and each rare trigram's texts go to all of them, so a trigram that many queries have is no single task's.
     """
-    grams = lambda d, name: d.filter("text is not null").select(F.col("id").alias(name), "country", F.explode(X.char_grams(F.col("text"))).alias("g"))
-    r, q = grams(reference, "s1"), grams(queries, "s23")
-    n = reference.filter("text is not null").groupBy("country").agg(F.count("*").alias("n"))
-    idf = r.groupBy("country", "g").agg(F.count("*").alias("df")).join(n, "country").select("country", "g", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))
+    # planned by file sizes, tables of trigrams or of all ids would seem small enough to broadcast, so their joins are sorted
+    has_text = lambda d: d.filter("text is not null").select("id", "country", "text")
+    reference, queries = has_text(reference), has_text(queries)
+    named = lambda d: d.filter("id is not null")
+    texts = lambda d, name: d.groupBy("country", "text").agg(F.min("id").alias(name), F.count("*").alias("copies"))
+    grams = lambda d, name: d.select(name, "country", "copies", F.explode(X.char_grams(F.col("text"))).alias("g")).hint("merge")
+    rt, qt = texts(reference, "s1"), texts(queries, "s23")
+    r, q = grams(rt, "s1"), grams(qt, "s23")
+    n = rt.groupBy("country").agg(F.sum("copies").alias("n"))
+    idf = r.groupBy("country", "g").agg(F.sum("copies").alias("df")).join(n, "country").select("country", "g", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))
     rw, qw = r.join(idf, ["country", "g"]), q.join(idf, ["country", "g"])
     rn = rw.groupBy("s1").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
     qn = qw.groupBy("s23").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     rare = F.col("df") <= most_df
     salt = F.pmod(F.xxhash64("s23"), F.lit(SALTS)).cast("int").alias("salt")
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    asked, held = qw.filter(rare).select("s23", "country", "g", "w", salt), rw.filter(rare).select("s1", "country", "g", F.col("w").alias("v"), every)
+    asked, held = qw.filter(rare).select("s23", "country", "g", "w", salt), rw.filter(rare).select("s1", "country", "g", F.col("w").alias("v"), every).hint("merge")
     dot = asked.join(held, ["country", "g", "salt"]).groupBy("s23", "s1").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cos = dot.join(rn, "s1").join(qn, "s23").select("s23", "s1", F.round(F.col("dot") / (F.col("rn") * F.col("qn")), 6).alias("cos"))
     best = Window.partitionBy("s23").orderBy(F.desc("cos"), "s1")
-    top = cos.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
+    first = lambda d: d.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
+    # a text's least id stands for it, so the best ids are among the least ones of the best texts
+    upto = Window.partitionBy("country", "text").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = named(reference).select("id", F.min("id").over(upto).alias("s1"), F.row_number().over(upto).alias("nth")).filter(F.col("nth") <= k + 1).select("id", "s1").hint("merge")
+    top = first(first(cos).drop("rank").join(least, "s1").select("s23", F.col("id").alias("s1"), "cos"))
     nxt = F.coalesce(F.lead("cos").over(best), F.lit(0.0))
-    return top.withColumn("cos_next", nxt).filter(F.col("rank") <= k).withColumn("gap", F.round(F.col("cos") - F.col("cos_next"), 6))
+    top = top.withColumn("cos_next", nxt).filter(F.col("rank") <= k).withColumn("gap", F.round(F.col("cos") - F.col("cos_next"), 6))
+    whole = top.join(qt.select("s23", "country", "text").hint("merge"), "s23").drop("s23").join(named(queries).hint("merge"), ["country", "text"])
+    return whole.select(F.col("id").alias("s23"), "s1", "cos", "rank", "cos_next", "gap")
 
 
 def _usable(c: str) -> Column:

@@ -128,7 +128,7 @@ def name_pair_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def _supplier_like(spark: SparkSession, d: str):
     p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("country"), F.lower("p_name").alias("text"))
-    return p.dropDuplicates(["country", "text"]), p
+    return p.groupBy("country", "text").agg(F.min("id").alias("id")), p
 
 
 @query(r"""WITH q AS (SELECT p_partkey AS id, p_brand AS country, lower(p_name) AS text FROM part), r AS (SELECT country, text, min(id) AS id FROM q GROUP BY 1, 2),
