@@ -93,8 +93,10 @@ def score(model, frame: DataFrame, features: list[str], name: str = "p") -> Data
 
 
 def cross_fit(frame: DataFrame, features: list[str], estimator_of, key: str = "s1", folds: int = FOLDS) -> DataFrame:
-    """Out-of-fold scores of all rows: each fold by a model of the others. ``estimator_of`` makes a fresh estimator."""
-    d = frame.withColumn("fold", fold_of(F.col(key), folds))
+    """Out-of-fold scores of all rows: each fold by a model of the others. ``estimator_of`` makes a fresh estimator. A column
+    fold of the frame, from 0 to ``folds`` - 1, is taken as it is. A fit reads the frame several times, so write it first if
+    it is dear."""
+    d = frame if "fold" in frame.columns else frame.withColumn("fold", fold_of(F.col(key), folds))
     out = None
     for k in range(folds):
         model = fit(d.filter(F.col("fold") != k), features, estimator_of())
@@ -103,13 +105,13 @@ def cross_fit(frame: DataFrame, features: list[str], estimator_of, key: str = "s
     return out
 
 
-def blend(*scored: DataFrame) -> DataFrame:
-    """The mean of scores over the pairs that all have."""
-    d = scored[0].select("s1", "s23", F.col("p").alias("p0"))
+def blend(*scored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The mean of scores over the pairs that all have, with the columns ``keep`` of the first."""
+    d = scored[0].select("s1", "s23", *keep, F.col("p").alias("p0"))
     for i, s in enumerate(scored[1:], 1):
         d = d.join(s.select("s1", "s23", F.col("p").alias(f"p{i}")), ["s1", "s23"])
     total = sum((F.col(f"p{i}") for i in range(1, len(scored))), F.col("p0"))
-    return d.select("s1", "s23", (total / len(scored)).alias("p"))
+    return d.select("s1", "s23", *keep, (total / len(scored)).alias("p"))
 
 
 def refit(base: DataFrame, scored: DataFrame) -> DataFrame:

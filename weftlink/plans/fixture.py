@@ -18,6 +18,9 @@ from weftlink.operators.normalise import normalise
 from weftlink.session import portable_bucket, settled
 
 
+WORD, MARK = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]"  # what words are of, and what is between them
+
+
 @dataclass
 class Linkage:
     """``records``: (id, source, country, name, address), source 1 is the reference; ``truth``: (s1, s23)."""
@@ -31,8 +34,9 @@ class Linkage:
 
 
 def documents_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the fields end with the 14th word, so the text is cut no further; a first piece before a mark is empty
-    words = F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", 16), lambda w: w != ""), 1, 14)
+    # the fields end with the 14th word, so no more of a text than 16 words is made small or cut; a first piece before a mark is empty
+    start = F.regexp_extract("text", rf"^(?:{WORD}*+{MARK}++){{0,16}}+{WORD}*+", 0)
+    words = F.slice(F.filter(F.split(F.lower(start), MARK + "+", 16), lambda w: w != ""), 1, 14)
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "lang", words.alias("t"))
     country = F.when(F.col("lang") == "en", "US").when(F.col("lang") == "es", "India").otherwise("France")
     address = lambda n: F.concat(n.cast("string"), F.lit(" "), F.array_join(F.slice("t", 7, 8), " "))

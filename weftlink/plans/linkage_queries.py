@@ -210,7 +210,8 @@ def scored(spark: SparkSession, d: str):
     """The problem and its pairs of three families, scored by edit distance and house numbers."""
     x = normalised(spark, d)
     parts = _parts(spark, d)
-    pairs = B.block(parts, _THREE[0]).union(B.block(parts, _THREE[1])).union(B.block(parts, _THREE[2])).distinct()
+    three = tuple(_THREE)
+    pairs = B.capped_pairs(B.family_keys(parts, three), three).select("s1", "s23").distinct()
     # DuckDB's edit distance counts bytes, so the shared score is over ASCII
     r = x.records.select("id", "source", "country", F.regexp_replace("compact", "[^a-z0-9]", "").alias("compact"), "house")
     p = pairs.join(r.filter("source = 1").select(F.col("id").alias("s1"), "country", F.col("compact").alias("a"), F.col("house").alias("h")), "s1").join(r.filter("source <> 1").select(F.col("id").alias("s23"), F.col("compact").alias("b"), F.col("house").alias("g")), "s23")
@@ -537,21 +538,23 @@ def kept_at_miss_rate(spark: SparkSession, d: str) -> DataFrame:
 FEATURES = ["name_ratio", "name_partial", "name_jw", "core_tset", "addr_ratio", "addr_tset", "house_edit", "core_eq", "house_eq", "house_in", "token_overlap", "number_overlap", "word_overlap", "street_eq", "name_rank", "addr_rank", "name_gap", "addr_gap", "other_name_gap"]
 
 
-def _labelled(spark: SparkSession, d: str):
+def _labelled(spark: SparkSession, d: str, folds: int):
+    """Features, labels and folds of all pairs, written: fits and scores read them many times, and the kernels are dear."""
     x, s = scored(spark, d)
-    f = P.leave_one_out(P.pair_features(s.select("s1", "s23"), x.records))
-    return x, f.join(x.truth.withColumn("y", F.lit(1)), ["s1", "s23"], "left").na.fill(0, ["y"])
+    f = P.pair_features(s.select("s1", "s23"), x.records)
+    f = settled(f.select("s1", "s23", "strong", *[c for c in f.columns if c in FEATURES]), f"pair features {d}")
+    f = P.leave_one_out(f).select("s1", "s23", *FEATURES, M.fold_of(F.col("s1"), folds).alias("fold"))
+    return x, settled(f.join(x.truth.withColumn("y", F.lit(1)), ["s1", "s23"], "left").na.fill(0, ["y"]), f"labelled {folds} {d}")
 
 
 @query()
 def gbt_blend(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold boosted trees and logistic regression, their blend, and its rank AUC."""
-    _, f = _labelled(spark, d)
+    _, f = _labelled(spark, d, folds=3)
     n = f.count()
     g = M.cross_fit(f, FEATURES, lambda: M.trees(rounds=5, depth=3), folds=3)
     lr = M.cross_fit(f, FEATURES, lambda: M.logistic(n), folds=3)
-    b = M.blend(g, lr).join(f.select("s1", "s23", "y"), ["s1", "s23"])
-    return M.rank_auc(b).withColumn("good", F.col("auc") > 0.5)
+    return M.rank_auc(M.blend(g, lr, keep=("y",))).withColumn("good", F.col("auc") > 0.5)
 
 
 @query(f"WITH {RECORDS_SQL} SELECT id, CAST('0x' || substr(md5(id || '|fold'), 1, 8) AS BIGINT) % 5 AS fold FROM records WHERE source = 1")
