@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from weftlink.functions import text as X
 
 
-SALTS = 4  # strips of queries in the trigram join
+STRIP = 1024  # queries of a square that are multiplied at a time
 
 
-def trigram_top(reference: DataFrame, queries: DataFrame, k: int = 1, most_df: int = 5000) -> DataFrame:
+def trigram_top(reference: DataFrame, queries: DataFrame, k: int = 1, most_df: int | None = None, block_rows: int = 4096, block_grams: int = 1 << 19) -> DataFrame:
     """(s23, s1, rank, cos, cos_next, gap): the ``k`` reference texts of a query's country with the largest cosine of
     word-bounded trigrams, of equal ones the least id. IDF is ln((n + 1) / (df + 1)) + 1 over the country's reference texts;
-    norms count all their trigrams, products only those in at most ``most_df`` texts. Both tables have id, country, text;
-    null texts are out, and ids are unique in a table.
-    Equal texts of a country are compared once and their ids joined to the outcome. Queries are dealt to ``SALTS`` strips
-    and each rare trigram's texts go to all of them, so a trigram that many queries have is no single task's.
+    every trigram counts, unless the caller's measure has products only of those in at most ``most_df`` texts (norms still
+    count all). Both tables have id, country, text; null texts are out, and ids are unique in a table.
+    Equal texts of a country are compared once and their ids joined to the outcome. Texts are cut to blocks of about
+    ``block_rows`` and, where they are long, ``block_grams`` trigrams; every block of queries meets every block of its
+    country's reference texts in a square of its own, keeps the best there, and a window merges them. So no pair is shuffled
+    and a trigram that many texts have is no single task's; the work is that of all pairs of a country's different texts.
     """
     # planned by file sizes, tables of trigrams or of all ids would seem small enough to broadcast, so their joins are sorted
     has_text = lambda d: d.filter("text is not null").select("id", "country", "text")
@@ -29,17 +31,25 @@ def trigram_top(reference: DataFrame, queries: DataFrame, k: int = 1, most_df: i
     grams = lambda d, name: d.select(name, "country", "copies", F.explode(X.char_grams(F.col("text"))).alias("g")).hint("merge")
     rt, qt = texts(reference, "s1"), texts(queries, "s23")
     r, q = grams(rt, "s1"), grams(qt, "s23")
-    n = rt.groupBy("country").agg(F.sum("copies").alias("n"))
-    idf = r.groupBy("country", "g").agg(F.sum("copies").alias("df")).join(n, "country").select("country", "g", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))
-    rw, qw = r.join(idf, ["country", "g"]), q.join(idf, ["country", "g"])
-    rn = rw.groupBy("s1").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
-    qn = qw.groupBy("s23").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    rare = F.col("df") <= most_df
-    salt = F.pmod(F.xxhash64("s23"), F.lit(SALTS)).cast("int").alias("salt")
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    asked, held = qw.filter(rare).select("s23", "country", "g", "w", salt), rw.filter(rare).select("s1", "country", "g", F.col("w").alias("v"), every).hint("merge")
-    dot = asked.join(held, ["country", "g", "salt"]).groupBy("s23", "s1").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cos = dot.join(rn, "s1").join(qn, "s23").select("s23", "s1", F.round(F.col("dot") / (F.col("rn") * F.col("qn")), 6).alias("cos"))
+    sized = lambda d, of_reference: d.select("country", "copies", F.length("text").alias("long"), F.lit(of_reference).alias("r"))
+    blocks = lambda which: F.ceil(F.greatest(F.count(F.when(which, 1)) / block_rows, F.sum(F.when(which, F.col("long"))) / block_grams)).cast("int")
+    n = sized(rt, True).unionByName(sized(qt, False)).groupBy("country").agg(F.sum(F.when(F.col("r"), F.col("copies"))).alias("n"), blocks(F.col("r")).alias("nr"), blocks(~F.col("r")).alias("nq"))
+    idf = r.groupBy("country", "g").agg(F.sum("copies").alias("df")).join(n, "country").select("country", "g", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"), "nr", "nq")
+    counts = F.lit(True) if most_df is None else F.col("df") <= most_df
+
+    def vectors(d: DataFrame, name: str) -> DataFrame:
+        d = d.filter(F.col(name).isNotNull()).join(idf, ["country", "g"]).groupBy("country", name)
+        some = lambda c: F.collect_list(F.when(counts, F.col(c))).alias(c)
+        d = d.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), some("g"), some("w"), F.first("nr").alias("nr"), F.first("nq").alias("nq"))
+        return d.filter((F.size("g") > 0) & (F.col("nq") > 0))
+
+    mine = lambda name, m: F.pmod(F.xxhash64(name), F.col(m)).cast("int")
+    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    held = vectors(r, "s1").select(F.col("country").alias("country"), mine("s1", "nr").alias("rb"), all_of("nq").alias("qb"), "s1", "norm", "g", "w")
+    asked = vectors(q, "s23").select(F.col("country").alias("country"), all_of("nr").alias("rb"), mine("s23", "nq").alias("qb"), "s23", "norm", "g", "w")
+    keys = ["country", "rb", "qb"]
+    kinds = f"s23 {asked.schema['s23'].dataType.simpleString()}, s1 {held.schema['s1'].dataType.simpleString()}, cos double"
+    cos = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda a, b: _best_of_square(a, b, k + 1), kinds)
     best = Window.partitionBy("s23").orderBy(F.desc("cos"), "s1")
     first = lambda d: d.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
     # a text's least id stands for it, so the best ids are among the least ones of the best texts
@@ -52,6 +62,51 @@ def trigram_top(reference: DataFrame, queries: DataFrame, k: int = 1, most_df: i
     return whole.select(F.col("id").alias("s23"), "s1", "cos", "rank", "cos_next", "gap")
 
 
+def _best_of_square(asked: pd.DataFrame, held: pd.DataFrame, most: int) -> pd.DataFrame:
+    """(s23, s1, cos): of each query the ``most`` texts with the largest cosine among those that share a trigram, of equal
+    ones the least id. Rows have an id, norm, trigrams g and their weights w, which depend on the trigram only."""
+    if not len(asked) or not len(held):
+        return pd.DataFrame({"s23": [], "s1": [], "cos": []})
+    held = held.sort_values("s1")
+    code, names = pd.factorize(np.concatenate([*held["g"], *asked["g"]]))
+    weight = np.zeros(len(names))
+    weight[code] = np.concatenate([*held["w"], *asked["w"]])
+    n, per_text = len(held), held["g"].str.len().to_numpy()
+
+    def postings(code: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by trigram, and where each trigram's begin."""
+        row = np.repeat(np.arange(len(per_text)), per_text.astype(int))
+        return row[np.argsort(code, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(names)))])
+
+    rows, begin = postings(code[: per_text.sum()], per_text)
+    code, per_query = code[per_text.sum() :], asked["g"].str.len().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(per_query)])
+    norm, norms = asked["norm"].to_numpy(), held["norm"].to_numpy()
+    s23, s1, out = asked["s23"].to_numpy(), held["s1"].to_numpy(), []
+    for lo in range(0, len(asked), STRIP):
+        m = min(STRIP, len(asked) - lo)
+        wanted, start = postings(code[ends[lo] : ends[lo + m]], per_query[lo : lo + m])
+        dot, pairs = np.zeros((m, n)), np.diff(start) * np.diff(begin)
+        often = pairs * 64 > m * n  # those a matrix product adds sooner
+        for g in np.flatnonzero((pairs > 0) & ~often):
+            dot[wanted[start[g] : start[g + 1], None], rows[begin[g] : begin[g + 1]]] += weight[g] * weight[g]
+        often = np.flatnonzero(often)
+        for at in range(0, len(often), 256):
+            some = often[at : at + 256]
+            x, y = np.zeros((m, len(some))), np.zeros((len(some), n))
+            for i, g in enumerate(some):
+                x[wanted[start[g] : start[g + 1]], i] = y[i, rows[begin[g] : begin[g + 1]]] = weight[g]
+            dot += x @ y
+        # one number orders a query's texts: millionths of the cosine, one more where a trigram is shared, then the least id
+        order = np.rint(dot / (norm[lo : lo + m, None] * norms) * 1e6).astype(np.int64) + (dot > 0)
+        order = order * n + np.arange(n)[::-1]
+        top = np.partition(order, n - most, axis=1)[:, n - most :] if n > most else order
+        who, which = np.nonzero(top >= n)
+        top = top[who, which]
+        out.append(pd.DataFrame({"s23": s23[lo + who], "s1": s1[n - 1 - top % n], "cos": (top // n - 1) / 1e6}))
+    return pd.concat(out)
+
+
 def _usable(c: str) -> Column:
     """Vectors whose components are all finite, not all of them zero."""
     finite = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
